@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm.confusables import skeleton
+from siftwell.session import ship_package
 
 # The languages and the names they go by.
 LANGUAGES = {
@@ -229,6 +230,7 @@ def passages(documents: DataFrame, model: Classifier, doc_id: str = "doc_id", te
     """
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), label_code(F.col(label)).alias("label"))
     held = documents.sparkSession.sparkContext.broadcast(model)
+    ship_package(documents.sparkSession)
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(lambda batches: _passages(batches, held.value), f"doc_id {kind}, label string, first int, sentences int, lang string, confidence double, of int")
 

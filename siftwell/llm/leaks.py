@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.confusables import fold
+from siftwell.session import ship_package
 
 _WORD = re.compile(r"[^\W_]+")
 #: Characters of items that are held by a task at once; a larger set of items is taken in blocks, each against all documents.
@@ -147,6 +148,7 @@ def leaked_items(
     are read once for each block of items and aren't shuffled; only found pairs are.
     """
     spark = documents.sparkSession
+    ship_package(spark)
     items = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(text).alias("t")).dropna()
     docs = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).dropna()
     blocks = max(1, -(-(items.agg(F.sum(F.length("t"))).first()[0] or 0) // block_chars))

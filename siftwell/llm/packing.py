@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.session import ship_package
+
 #: Containers a packer holds open.
 OPEN_BINS = 64
 
@@ -100,5 +102,6 @@ def pack(documents: DataFrame, capacity: int, vocabulary: str, pattern: str, doc
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "tokens", "container"])
 
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    ship_package(documents.sparkSession)
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, piece int, start bigint, tokens int, container string")
