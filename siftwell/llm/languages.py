@@ -189,6 +189,30 @@ def train(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", labe
     return fit(texts, labels)
 
 
+#: A change of language within a document costs as much as this log-probability; so an unsure sentence goes with its neighbours.
+SWITCH = 1.5
+
+
+def smooth(logs: np.ndarray, switch: float = SWITCH) -> np.ndarray:
+    """The likeliest sequence of languages for a document's sentences."""
+    best = logs.argmax(axis=1)
+    if len(best) < 2 or (best == best[0]).all():
+        return best
+    n, score = len(logs), logs[0].copy()
+    back = np.zeros(logs.shape, np.int64)
+    stay = np.arange(logs.shape[1])
+    for i in range(1, n):
+        top = int(score.argmax())
+        moved = score[top] - switch > score
+        back[i] = np.where(moved, top, stay)
+        score = np.where(moved, score[top] - switch, score) + logs[i]
+    path = np.empty(n, np.int64)
+    path[-1] = score.argmax()
+    for i in range(n - 1, 0, -1):
+        path[i - 1] = back[i, path[i]]
+    return path
+
+
 def runs(languages: np.ndarray) -> list[tuple[int, int, int]]:
     """(language, first, length) of the runs of equal values."""
     if not len(languages):
@@ -204,11 +228,12 @@ def _passages(batches: Iterator[pa.RecordBatch], model: Classifier) -> Iterator[
             texts += sentences(t)
             ends.append(len(texts))
         scores = model.scores(texts)
-        sure, best = confidence(scores) if len(texts) else scores, scores.argmax(axis=1)
+        sure = confidence(scores) if len(texts) else scores
+        logs = np.log(np.maximum(sure, 1e-9))
         rows: list[tuple] = []
         take = []
         for d, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
-            for c, first, n in runs(best[a:b]):
+            for c, first, n in runs(smooth(logs[a:b]) if b > a else logs[a:b, 0]):
                 take.append(d)
                 rows.append((first, n, CODES[c], float(sure[a + first : a + first + n, c].mean()), b - a))
             if a == b:
