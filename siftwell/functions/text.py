@@ -6,6 +6,7 @@ import re
 import unicodedata
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,7 +78,6 @@ def pattern_splitter(patterns: list[str], case_folding: bool = True, punctuation
 
 def pattern_tokens(patterns: list[str], case_folding: bool = True, punctuation: bool = False):
     """A column function like tokens() that keeps what patterns find whole; look-around needs Python, batches go by Arrow."""
-    import pandas as pd
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(texts: pd.Series) -> pd.Series:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from siftwell.plans import records
+from siftwell.plans import graph_queries, records, text_queries
 
-_MODULES = [records]
-FLAGSHIP = records.p1_report
+_MODULES = [records, text_queries, graph_queries]
+FLAGSHIP = text_queries.QUERIES["ret_tfidf"]
 
 
 def queries() -> dict:
