@@ -1,22 +1,34 @@
 """Monte-Carlo PageRank: ranks estimated from random walks.
 
-Walkers on the same node are alike, so the frontier is (node, walkers), never larger than the graph. A step gives each
+A graph of at most LOCAL_LINKS links is written to the shared folder once; every task reads it from there and walks its share
+of the walks to their ends, so there is one pass and one aggregation of visits. Larger graphs go step by step, with the
+frontier as a DataFrame. Walkers on the same node are alike, so the frontier is (node, walkers), never larger than the graph. A step gives each
 walker a link by number, and walkers and links meet on (node, link number), a key that stays even where a node has most
 links or most walkers. Draws are hashes of seed, step, node and walker, so a task that runs again draws the same.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.operators.graph import BORED, nodes, out_degree
 from siftwell.operators.hotkeys import ranked_pairs
 from siftwell.operators.index import dense_ids
-from siftwell.session import cut_lineage
+from siftwell.session import checkpoint_dir, cut_lineage, ship_package
 
+#: Links of a graph that each task may hold (8 bytes each), and walks of a task at once.
+LOCAL_LINKS = 5_000_000
+LOCAL_WALKS = 100_000
 #: Walkers of one node that a task draws for at once; larger crowds are split.
 CROWD = 50_000
 MOST_STEPS = 400
@@ -47,17 +59,99 @@ def _walkers(frontier: DataFrame) -> DataFrame:
     return split.repartition("node", "__chunk").withColumn("walker", F.explode(F.sequence(first, last))).drop("__chunk", "walkers")
 
 
-def monte_carlo(edges: DataFrame, walks: int, method: int, bored: float = BORED, seed: int = 1) -> DataFrame:
+def _load(path: str) -> pa.Table:
+    system, place = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+    return pq.read_table(place, filesystem=system)
+
+
+@dataclass(frozen=True)
+class Graph:
+    """names of the nodes in order; the links of node i are ends[first[i] : first[i + 1]]."""
+
+    names: pa.Array
+    first: np.ndarray
+    ends: np.ndarray
+
+    @classmethod
+    def read(cls, path: str) -> Graph:
+        table = _load(path)
+        names = pa.chunked_array([*table["src"].chunks, *table["dst"].chunks]).unique()
+        names = names.take(pc.array_sort_indices(names))
+        src, dst = (pc.index_in(table[c], names).to_numpy() for c in ("src", "dst"))
+        order = np.lexsort((dst, src))
+        return cls(names, np.searchsorted(src[order], np.arange(len(names) + 1)), dst[order])
+
+    def _follow(self, at: np.ndarray, draw: np.random.Generator) -> np.ndarray:
+        first = self.first[at]
+        return self.ends[first + (draw.random(len(at)) * (self.first[at + 1] - first)).astype(np.int64)]
+
+    def visits(self, at: np.ndarray, how: Method, bored: float, draw: np.random.Generator) -> np.ndarray:
+        """The nodes that count for walks that begin at the given nodes."""
+        n, seen = len(self.names), []
+        while len(at):
+            goes = draw.random(len(at)) >= bored
+            seen.append(at if how.path else at[~goes])
+            at = at[goes]
+            dangling = self.first[at + 1] == self.first[at]
+            following = self._follow(at[~dangling], draw)
+            at = following if how.path else np.concatenate([following, draw.integers(0, n, dangling.sum())])
+        return np.concatenate(seen) if seen else np.zeros(0, np.int64)
+
+
+def _walk_local(edges: DataFrame, walks: int, n: int, how: Method, bored: float, seed: int, path: str) -> DataFrame:
+    """(node, n) from tasks that hold the whole graph."""
+    spark = edges.sparkSession
+    ship_package(spark)
+    total = walks // n * n if how.cyclic else walks
+    chunks = max(1, -(-total // LOCAL_WALKS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = None
+        for batch in batches:
+            for chunk in batch.column(0).to_pylist():
+                graph = graph or Graph.read(path)
+                draw, begin, end = np.random.default_rng([seed, chunk]), chunk * LOCAL_WALKS, min(total, (chunk + 1) * LOCAL_WALKS)
+                at = np.arange(begin, end) % n if how.cyclic else draw.integers(0, n, max(0, end - begin))
+                counts = np.bincount(graph.visits(at, how, bored, draw), minlength=n)
+                found = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([graph.names.take(pa.array(found)), pa.array(counts[found])], ["node", "n"])
+
+    kind = edges.schema["src"].dataType.simpleString()
+    width = min(chunks, 4 * spark.sparkContext.defaultParallelism)
+    return spark.range(0, chunks, 1, width).mapInArrow(run, f"node {kind}, n bigint").groupBy("node").agg(F.sum("n").alias("n"))
+
+
+def _share(edges: DataFrame) -> str | None:
+    """Writes edges to the shared folder; None if this Python can't read them there."""
+    path = f"{checkpoint_dir(edges.sparkSession)}/siftwell-{uuid.uuid4().hex}"
+    edges.write.parquet(path)
+    try:
+        _load(path)
+    except Exception:  # noqa: BLE001
+        return None
+    return path
+
+
+def monte_carlo(edges: DataFrame, walks: int, method: int, bored: float = BORED, seed: int = 1, local_links: int = LOCAL_LINKS) -> DataFrame:
     """(node, rank): visits of each node over all visits, 0 for nodes never visited; no edges give no rows.
 
-    With a cyclic start each node begins walks // nodes walks. Methods: see METHODS.
+    With a cyclic start each node begins walks // nodes walks. Methods: see METHODS. Equal arguments give equal walks.
     """
     how = METHODS[method]
-    edges = cut_lineage(edges)
+    edges = cut_lineage(edges.select("src", "dst"))
     graph = nodes(edges)
     n = graph.count()
     if not n:
         return graph.select("node", F.lit(0.0).alias("rank"))
+    path = _share(edges) if edges.limit(local_links + 1).count() <= local_links else None
+    seen = _walk_local(edges, walks, n, how, bored, seed, path) if path else _walk_steps(edges, graph, walks, n, how, bored, seed)
+    seen = cut_lineage(seen)
+    total = F.broadcast(seen.agg(F.sum("n").alias("total")))  # one row
+    return graph.join(seen, "node", "left").join(total).select("node", F.coalesce(F.try_divide(F.col("n"), F.col("total")), F.lit(0.0)).alias("rank"))
+
+
+def _walk_steps(edges: DataFrame, graph: DataFrame, walks: int, n: int, how: Method, bored: float, seed: int) -> DataFrame:
+    """(node, n) step by step."""
     pairs = ranked_pairs(edges.select("src", "dst"), "src", "dst", 1)
     links = cut_lineage(pairs.select(F.col("src").alias("node"), F.col("piece").alias("link"), "dst"))
     numbered = cut_lineage(dense_ids(graph, "node", "number").join(out_degree(edges), "node"))
@@ -92,6 +186,4 @@ def monte_carlo(edges: DataFrame, walks: int, method: int, bored: float = BORED,
     seen = visits[0]
     for v in visits[1:]:
         seen = seen.unionByName(v)
-    seen = seen.groupBy("node").agg(F.sum("walkers").alias("n"))
-    total = F.broadcast(seen.agg(F.sum("n").alias("total")))  # one row
-    return graph.join(seen, "node", "left").join(total).select("node", F.coalesce(F.try_divide(F.col("n"), F.col("total")), F.lit(0.0)).alias("rank"))
+    return seen.groupBy("node").agg(F.sum("walkers").alias("n"))

@@ -14,7 +14,7 @@ from siftwell.session import checkpoint_dir
 from siftwell.sources.files import read_links, top_lines
 
 STEPS = 8
-WALKS = 200_000
+WALKS = 1_000_000
 CUTOFFS = [10, 20, 30, 40, 50]
 ASSUMED_RELEVANT = 100
 
@@ -229,8 +229,8 @@ ranked AS (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER
 def _ndcg_sql(where: str = "") -> str:
     return (
         _RANKED
-        + f""", both AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, rk) AS best FROM ranked {where})
-SELECT query_id, round(coalesce(sum((pow(2, grade) - 1) / log2(rk + 1)) / nullif(sum((pow(2, grade) - 1) / log2(best + 1)), 0), 0), 6) AS ndcg FROM both GROUP BY query_id"""
+        + f""", placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, rk) AS best FROM ranked {where})
+SELECT query_id, round(coalesce(sum((pow(2, grade) - 1) / log2(rk + 1)) / nullif(sum((pow(2, grade) - 1) / log2(best + 1)), 0), 0), 6) AS ndcg FROM placed GROUP BY query_id"""
     )
 
 
