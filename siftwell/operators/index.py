@@ -79,6 +79,11 @@ class Index:
         """The index kept by the executors' block managers, for many searches in a row."""
         return replace(self, postings=self.postings.cache(), docs=self.docs.cache())
 
+    def held(self, positions: bool = False) -> Index:
+        """The postings written to the checkpoint folder once, for a query that reads them several times."""
+        columns = ["term", "doc_id", "tf", *["positions"] * positions]
+        return replace(self, postings=cut_lineage(self.postings.select(*columns)))
+
     def merged(self, other: Index) -> Index:
         """Two partial indexes over different documents; postings are flat, so merging is a union."""
         return Index(self.postings.unionByName(other.postings), self.docs.unionByName(other.docs))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import indel_distance, kgrams
+from siftwell.session import cut_lineage
 
 LEAST_JACCARD = 0.4
 MOST_EDITS = 2
@@ -39,7 +40,7 @@ def scored(found: DataFrame) -> DataFrame:
 def suggest(spark: SparkSession, vocabulary: DataFrame, words: list[str], limit: int = 10, k: int = 2) -> DataFrame:
     """(suggestion, score): the best corrections of a whole query. Scores of the words add up, so each word needs only its own
     limit best; a word without candidates stays as it is, at score 0."""
-    each = scored(candidates(spark, vocabulary, words, k))
+    each = cut_lineage(scored(cut_lineage(candidates(spark, vocabulary, words, k))))
     out = None
     for i, word in enumerate(words):
         best = each.where(F.col("ord") == i).orderBy(F.desc("score"), "term").limit(limit).select("term", "score")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siftwell.operators import feedback, graph, retrieval, spelling, wildcard
 from siftwell.operators.index import Index, kgram_index
+from siftwell.session import cut_lineage
 
 
 class QueryType(Enum):
@@ -66,13 +67,15 @@ class Searcher:
         slots, literal = self.slots(terms)
         if kind is QueryType.RANKED and literal is None:
             slots = slots.groupBy("term").agg(F.lit(0).alias("ord"), F.lit(1.0).alias("weight"))  # one bag of all terms
+        if literal is None:
+            slots = cut_lineage(slots)  # read to check its size, and to join
         rows = retrieval.matched(self.index, slots, literal)
         rows = retrieval.if_all_known(rows, self.index, [t for t, _ in terms if wildcard.WILD not in t])
         if kind is QueryType.INTERSECTION:
             return retrieval.intersection(rows, len(terms))
         if kind is QueryType.PHRASE:
             return retrieval.phrase(rows, len(terms))
-        return retrieval.by_score(self._ranked(rows, ranking))
+        return retrieval.by_score(self._ranked(rows if literal is not None else cut_lineage(rows), ranking))
 
     def _ranked(self, rows: DataFrame, ranking: Ranking) -> DataFrame:
         if ranking is Ranking.TFIDF:
@@ -85,7 +88,7 @@ class Searcher:
 
     def with_feedback(self, query: str, relevant: DataFrame) -> DataFrame:
         """(doc_id, score): the ranked search again, with weights learnt from documents marked as relevant (doc_id)."""
-        weights = feedback.rocchio(self.spark, self.index, parse(query), relevant)
+        weights = cut_lineage(feedback.rocchio(self.spark, self.index, parse(query), relevant))
         rows = retrieval.matched(self.index, feedback.feedback_slots(weights))
         return retrieval.by_score(retrieval.tfidf(self.index, rows))
 

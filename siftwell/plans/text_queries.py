@@ -13,7 +13,7 @@ from siftwell.operators.graph import clean_edges
 from siftwell.operators.index import Index, append, compact, dense_ids, document_frequency, kgram_index, token_table
 from siftwell.plans.records import node_id, table
 from siftwell.plans.search import Searcher, parse
-from siftwell.session import checkpoint_dir, ship_package
+from siftwell.session import checkpoint_dir, cut_lineage, ship_package
 from siftwell.streaming.ingest import document_stream, index_stream, read_stream_index
 
 QUERY = "library harbour ferry"
@@ -34,13 +34,15 @@ def index(spark: SparkSession, sf_dir: str) -> Index:
     return Index.build(documents(spark, sf_dir))
 
 
-def searcher(spark: SparkSession, sf_dir: str) -> Searcher:
+def searcher(spark: SparkSession, sf_dir: str, held: str = "") -> Searcher:
+    """held: '' to leave the index lazy, 'counts' or 'positions' to write its postings first."""
     info = table(spark, sf_dir, "doc_info").select("doc_id", T.base_name(F.col("name")).alias("title")).dropna().distinct()
     ranks = table(spark, sf_dir, "pageranks").groupBy(F.col("name").alias("title")).agg(F.max("rank").alias("rank"))
     of_doc = info.join(ranks, "title").groupBy("doc_id").agg(F.max("rank").alias("rank"))
     edges = clean_edges(table(spark, sf_dir, "link_edges"), node_id("src"), node_id("dst"))
     titles = table(spark, sf_dir, "page_titles").select(node_id("node_id").alias("node"), "title").dropna().distinct()
-    return Searcher(spark, index(spark, sf_dir), of_doc, edges, titles, info)
+    ix = index(spark, sf_dir)
+    return Searcher(spark, ix.held(held == "positions") if held else ix, of_doc, edges, titles, info)
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -105,7 +107,8 @@ def idx_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _search(query: str, kind: str, ranking: str = "tfidf"):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = searcher(spark, sf_dir).search(query, kind, ranking)
+        held = ("positions" if kind == "phrase" else "counts") if "*" in query else ""
+        found = searcher(spark, sf_dir, held).search(query, kind, ranking)
         return _rounded(found) if kind == "ranked" else found
 
     return run
@@ -157,22 +160,22 @@ def spell_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spell_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spelling.scored(spelling.candidates(spark, index(spark, sf_dir).terms, MISSPELT))
+    found = spelling.scored(spelling.candidates(spark, cut_lineage(index(spark, sf_dir).terms), MISSPELT))
     return found.select("ord", "term", F.round("score", 6).alias("score"))
 
 
 def spell_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spelling.suggest(spark, index(spark, sf_dir).terms, MISSPELT)
+    found = spelling.suggest(spark, cut_lineage(index(spark, sf_dir).terms), MISSPELT)
     return found.select("suggestion", F.round("score", 6).alias("score"))
 
 
 def fb_rocchio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights = feedback.rocchio(spark, index(spark, sf_dir), parse(QUERY), table(spark, sf_dir, "feedback_docs"))
+    weights = feedback.rocchio(spark, index(spark, sf_dir).held(), parse(QUERY), table(spark, sf_dir, "feedback_docs"))
     return weights.select("term", F.round("weight", 6).alias("weight"))
 
 
 def fb_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(searcher(spark, sf_dir).with_feedback(QUERY, table(spark, sf_dir, "feedback_docs")))
+    return _rounded(searcher(spark, sf_dir, "counts").with_feedback(QUERY, table(spark, sf_dir, "feedback_docs")))
 
 
 def prj_names(spark: SparkSession, sf_dir: str) -> DataFrame:
