@@ -108,7 +108,7 @@ def term_kgrams(term: str, k: int = 2) -> list[str]:
 
 def base_name(path: Column) -> Column:
     """The last piece of a path."""
-    return F.element_at(F.filter(F.split(path, r"[\\/]"), lambda x: x != ""), -1)
+    return F.try_element_at(F.filter(F.split(path, r"[\\/]"), lambda x: x != ""), F.lit(-1))
 
 
 def without_first_piece(path: Column) -> Column:

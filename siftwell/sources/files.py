@@ -12,9 +12,10 @@ from siftwell.operators.index import dense_ids
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, name, text): every file below folder as one UTF-8 text; ids from 0 in the order of names."""
-    spark.conf.set("spark.sql.files.ignoreCorruptFiles", "true")  # a file that can't be read is skipped
-    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("name"), F.col("value").alias("text"))
+    """(doc_id, name, text): every file below folder as one UTF-8 text, files that can't be read left out; ids from 0 in the order
+    of names. Spark's file sources pass over files of no bytes, so these don't come out."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true")
+    files = reader.load(folder).select(F.col("path").alias("name"), F.col("content").cast("string").alias("text"))
     return dense_ids(files, "name", "doc_id").select("doc_id", "name", "text")
 
 
