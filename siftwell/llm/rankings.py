@@ -33,73 +33,61 @@ def beta_tail(x: Column, k: int, n: int) -> Column:
     return total
 
 
-def significance(places: list[Column]) -> Column:
-    """The corrected minimum over an item's places in (0, 1]."""
-    n = len(places)
-    ordered = F.array_sort(F.array(*places))
+def significance(ordered: Column, n: int) -> Column:
+    """The corrected minimum over an item's n places in (0, 1], ascending."""
     tails = [beta_tail(F.element_at(ordered, k), k, n) for k in range(1, n + 1)]
     return F.least(F.lit(1.0), (F.least(*tails) if n > 1 else tails[0]) * F.lit(float(n)))
 
 
-def _places(items: DataFrame, score: str, hot: DataFrame | None, limits: DataFrame | None) -> Column | DataFrame:
-    """items plus place_<score>: (number of items with a greater score + half of the ties' others + 1) / size; 1 if missing."""
-    value = F.col(score)
+def _places(long: DataFrame, limits: DataFrame | None) -> DataFrame:
+    """long (group, item, size, score, v) to (group, item, place): (items with a greater v + half of the ties' others + 1) / size,
+    1 where v is missing. Equal values are counted together first, so ties of any number are one row of the window."""
+    there = long.where(F.col("v").isNotNull())
+    values = there.groupBy("group", "score", "v").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
     part = F.lit(0)
     if limits is not None:
-        cuts = f"cuts_{score}"
-        items = items.join(F.broadcast(limits.select("group", cuts)), "group", "left")
-        part = F.when(F.col(cuts).isNull() | value.isNull(), F.lit(0)).otherwise(F.size(F.filter(cuts, lambda c: c >= value)))
-        items = items.withColumn("__part", part).drop(cuts)
-    else:
-        items = items.withColumn("__part", part)
-    each = Window.partitionBy("group", "__part")
-    first = F.rank().over(each.orderBy(value.desc_nulls_last()))
-    ties = F.count(F.lit(1)).over(Window.partitionBy("group", "__part", score))
-    items = items.withColumn("__first", first).withColumn("__ties", ties)
-    before = F.lit(0)
+        values = values.join(F.broadcast(limits), ["group", "score"], "left")
+        part = F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(F.size(F.filter("cuts", lambda c: c >= F.col("v"))))
+    values = values.withColumn("part", part)
+    above = F.sum("n").over(Window.partitionBy("group", "score", "part").orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, -1))
+    values = values.withColumn("above", F.coalesce(above, F.lit(0)))
     if limits is not None:
-        sizes = items.where(value.isNotNull()).groupBy("group", "__part").agg(F.count(F.lit(1)).alias("__n"))
-        sizes = checked_broadcast_join(sizes, hot.select("group"), ["group"], "left_semi")
-        above = F.sum("__n").over(Window.partitionBy("group").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-        items = items.join(F.broadcast(sizes.select("group", "__part", above.alias("__above"))), ["group", "__part"], "left")
-        before = F.coalesce("__above", F.lit(0))
-    place = (before + F.col("__first") + (F.col("__ties") - 1) / 2) / F.col("size")
-    place = F.when(value.isNull(), F.lit(1.0)).otherwise(place)
-    return items.withColumn(f"place_{score}", place).drop("__part", "__first", "__ties", "__above")
+        sizes = values.where("cuts is not null").groupBy("group", "score", "part").agg(F.sum("n").alias("m"))
+        before = F.sum("m").over(Window.partitionBy("group", "score").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+        sizes = F.broadcast(sizes.select("group", "score", "part", before.alias("before")))  # PARTS rows for each score of a hot group
+        values = values.join(sizes, ["group", "score", "part"], "left").withColumn("above", F.col("above") + F.coalesce("before", F.lit(0)))
+    values = values.select("group", "score", "v", ((F.col("above") + (F.col("n") + 1) / 2) / F.col("size")).alias("place"))
+    placed = there.select("group", "item", "score", "v").join(values, ["group", "score", "v"]).select("group", "item", "place")
+    return placed.unionAll(long.where(F.col("v").isNull()).select("group", "item", F.lit(1.0).alias("place")))
 
 
 def aggregate_rankings(df: DataFrame, group: str, item: str, scores: list[str]) -> DataFrame:
-    """One ranking of each group's items: (group, item, rho, mean_place, position).
+    """One ranking of each group's items: (group, item, rho, mean_place).
 
     All scores weigh alike, greater is better, and only an item's place in its group counts. Equal scores share the mean
     of their places, a missing or NaN score takes the last place. Rows that repeat an item give it its greatest value of each
-    score; rows with a null group or item are left out. Items are ordered by rho (the corrected minimum), then by mean place,
-    then by id. A group above max(HOT_ROWS, total / HOT_KEYS) items is ranked in parts cut at its approximate quantiles, by
-    counts of the parts above; of such groups there are at most HOT_KEYS.
+    score; rows with a null group or item are left out. Items are to be ordered by rho (the corrected minimum), then by mean
+    place, then by id, as best_of_each does. A group above max(HOT_ROWS, total / HOT_KEYS) items is ranked in parts cut at
+    its approximate quantiles, by counts of the parts above; of such groups there are at most HOT_KEYS.
     """
     cleaned = [F.max(F.when(~F.isnan(s), F.col(s).cast("double"))).alias(f"s{i}") for i, s in enumerate(scores)]
     items = df.where(F.col(group).isNotNull() & F.col(item).isNotNull()).groupBy(F.col(group).alias("group"), F.col(item).alias("item")).agg(*cleaned)
-    names = [f"s{i}" for i in range(len(scores))]
     items = cut_lineage(items)
     sizes = items.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
     total = sizes.agg(F.sum("size")).first()[0] or 0
     limit = max(HOT_ROWS, -(-total // HOT_KEYS))
-    hot = limits = None
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("score"), F.col(f"s{i}").alias("v")) for i in range(len(scores))])).alias("x")
+    long = checked_broadcast_join(items, sizes, ["group"]).select("group", "item", "size", each).select("group", "item", "size", "x.score", "x.v")
+    limits = None
     if total > limit and (big := sizes.where(F.col("size") > limit).collect()):
-        spark = df.sparkSession
-        hot = spark.createDataFrame([(b["group"],) for b in big], items.select("group").schema)
+        hot = df.sparkSession.createDataFrame([(b["group"],) for b in big], items.select("group").schema)
         at = F.array(*[F.lit(p / PARTS) for p in range(1, PARTS)])
-        inside = items.join(F.broadcast(hot), "group", "left_semi")
-        limits = cut_lineage(inside.groupBy("group").agg(*[F.percentile_approx(s, at, F.lit(ACCURACY)).alias(f"cuts_{s}") for s in names]))
-    items = checked_broadcast_join(items, sizes, ["group"])
-    for s in names:
-        items = _places(items, s, hot, limits)
-    places = [F.col(f"place_{s}") for s in names]
-    mean = places[0]
-    for p in places[1:]:
-        mean = mean + p
-    out = items.select("group", "item", significance(places).alias("rho"), (mean / len(places)).alias("mean_place"))
-    return out
+        inside = long.join(F.broadcast(hot), "group", "left_semi")
+        limits = cut_lineage(inside.groupBy("group", "score").agg(F.array_distinct(F.percentile_approx("v", at, F.lit(ACCURACY))).alias("cuts")))
+    places = _places(long, limits).groupBy("group", "item").agg(F.collect_list("place").alias("places"))  # one of each score
+    places = places.withColumn("places", F.array_sort("places"))
+    mean = F.aggregate("places", F.lit(0.0), lambda a, x: a + x) / len(scores)
+    return places.select("group", "item", significance(F.col("places"), len(scores)).alias("rho"), mean.alias("mean_place"))
 
 
 def best_of_each(ranked: DataFrame, k: int) -> DataFrame:
