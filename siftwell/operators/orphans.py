@@ -17,6 +17,8 @@ from siftwell.session import shuffle_width
 
 #: Consecutive integer keys that share a bucket; runs are built and searched within a bucket.
 BUCKET_KEYS = 4096
+#: Buckets of keys that aren't integers.
+TEXT_BUCKETS = 1 << 16
 #: Buckets of references above max(HOT_ROWS, total / HOT_SHARE) are split, hence at most HOT_SHARE buckets are.
 HOT_ROWS = 500_000
 HOT_SHARE = 2000
@@ -54,14 +56,14 @@ def _col(c: str | Column) -> Column:
 
 def _int_part(key: Column) -> Column:
     """Keys of up to 18 digits are integers whatever blanks and zeros stand before them; others sort behind, by text."""
-    return F.when(key.rlike(r"^\s*[0-9]{1,18}\s*$"), F.expr("0L") + F.trim(key).try_cast("bigint")).otherwise(F.lit(_LAST_KEY))
+    return F.when(key.rlike(r"^\s*[0-9]{1,18}\s*$"), key.try_cast("bigint")).otherwise(F.lit(_LAST_KEY))
 
 
 def _keyed(df: DataFrame, key: Column, keep: list[Column]) -> DataFrame:
     """keep plus k (integer part), s (text part) and the bucket. All three compare as the key does."""
     df = df.select(_int_part(key).alias("k"), key.alias("raw"), *keep).where(F.col("raw").isNotNull())
     text = F.when(F.col("k") == _LAST_KEY, F.col("raw")).otherwise(F.lit(""))
-    bucket = F.when(F.col("k") == _LAST_KEY, F.xxhash64("raw")).otherwise(F.expr(f"k div {BUCKET_KEYS}"))
+    bucket = F.when(F.col("k") == _LAST_KEY, F.pmod(F.xxhash64("raw"), F.lit(TEXT_BUCKETS))).otherwise(F.expr(f"k div {BUCKET_KEYS}"))
     return df.withColumn("s", text).withColumn("bucket", bucket).drop("raw")
 
 

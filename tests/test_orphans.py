@@ -37,7 +37,7 @@ CHILDREN = [
     (i, k, t, "clash", "clash")
     for i, (k, t) in enumerate(
         (k, t)
-        for k in ["4", "0005 ", "6", "7", "8", "9", "a/b", "a/c", "", " ", None, "4095", "4096", "4097", "x" * 5000, "-4", "99999999999999999999999"]
+        for k in ["4", "0005 ", "\t5\n", "6", "7", "8", "9", "a/b", "a/c", "", " ", None, "4095", "4096", "4097", "x" * 5000, "-4", "99999999999999999999999"]
         for t in [None, DAY(1), DAY(2), DAY(3), DAY(4), DAY(5), DAY(6)]
     )
 ]
