@@ -21,14 +21,17 @@ def clean_edges(rows: DataFrame, src: Column, dst: Column) -> DataFrame:
     return rows.select(src.alias("src"), dst.alias("dst")).dropna().distinct()
 
 
-def nodes(edges: DataFrame) -> DataFrame:
-    """(node) of either end."""
-    return edges.select(F.col("src").alias("node")).unionAll(edges.select(F.col("dst").alias("node"))).distinct()
+def nodes(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
+    """(node) of either end, and of vertices (node) if there are nodes without links."""
+    ends = edges.select(F.col("src").alias("node")).unionAll(edges.select(F.col("dst").alias("node")))
+    return (ends if vertices is None else ends.unionAll(vertices.select("node").dropna())).distinct()
 
 
-def out_degree(edges: DataFrame) -> DataFrame:
+def out_degree(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """(node, out) of all nodes, 0 for dangling ones. Counted with partial sums, so a source with most edges is no burden."""
     ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("n")).unionAll(edges.select(F.col("dst").alias("node"), F.lit(0).alias("n")))
+    if vertices is not None:
+        ends = ends.unionAll(vertices.select("node", F.lit(0).alias("n")).dropna())
     return ends.groupBy("node").agg(F.sum("n").alias("out"))
 
 
@@ -36,12 +39,12 @@ def transpose(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def pagerank(edges: DataFrame, iterations: int = 50, tolerance: float | None = None, bored: float = BORED, start: str = "first") -> DataFrame:
+def pagerank(edges: DataFrame, iterations: int = 50, tolerance: float | None = None, bored: float = BORED, start: str = "first", vertices: DataFrame | None = None) -> DataFrame:
     """(node, rank), ranks sum to 1. A surfer jumps anywhere with probability bored and from a dangling node, else follows a
     link. start 'first' puts the surfer on the least node, 'uniform' anywhere. With a tolerance the loop ends once the
-    Euclidean distance of two steps is within it, at the latest after iterations steps. No edges give no rows."""
+    Euclidean distance of two steps is within it, at the latest after iterations steps. vertices (node) adds nodes without links; no nodes give no rows."""
     edges = cut_lineage(edges)
-    degrees = cut_lineage(out_degree(edges))
+    degrees = cut_lineage(out_degree(edges, vertices))
     size = degrees.agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).first()
     n = size["n"]
     if not n:

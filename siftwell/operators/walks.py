@@ -74,8 +74,7 @@ class Graph:
 
     @classmethod
     def read(cls, path: str) -> Graph:
-        table = _load(path)
-        names = pa.chunked_array([*table["src"].chunks, *table["dst"].chunks]).unique()
+        table, names = _load(f"{path}/edges"), _load(f"{path}/nodes")["node"].combine_chunks()
         names = names.take(pc.array_sort_indices(names))
         src, dst = (pc.index_in(table[c], names).to_numpy() for c in ("src", "dst"))
         order = np.lexsort((dst, src))
@@ -121,29 +120,32 @@ def _walk_local(edges: DataFrame, walks: int, n: int, how: Method, bored: float,
     return spark.range(0, chunks, 1, width).mapInArrow(run, f"node {kind}, n bigint").groupBy("node").agg(F.sum("n").alias("n"))
 
 
-def _share(edges: DataFrame) -> str | None:
-    """Writes edges to the shared folder; None if this Python can't read them there."""
+def _share(edges: DataFrame, graph: DataFrame) -> str | None:
+    """Writes links and nodes to the shared folder; None if this Python can't read them there."""
     path = f"{checkpoint_dir(edges.sparkSession)}/siftwell-{uuid.uuid4().hex}"
-    edges.write.parquet(path)
+    edges.write.parquet(f"{path}/edges")
+    graph.write.parquet(f"{path}/nodes")
     try:
-        _load(path)
+        _load(f"{path}/nodes")
     except Exception:  # noqa: BLE001
         return None
     return path
 
 
-def monte_carlo(edges: DataFrame, walks: int, method: int, bored: float = BORED, seed: int = 1, local_links: int = LOCAL_LINKS) -> DataFrame:
-    """(node, rank): visits of each node over all visits, 0 for nodes never visited; no edges give no rows.
+def monte_carlo(edges: DataFrame, walks: int, method: int, bored: float = BORED, seed: int = 1, local_links: int = LOCAL_LINKS, vertices: DataFrame | None = None) -> DataFrame:
+    """(node, rank): visits of each node over all visits, 0 for nodes never visited; no nodes give no rows. vertices
+    (node) adds nodes without links.
 
     With a cyclic start each node begins walks // nodes walks. Methods: see METHODS. Equal arguments give equal walks.
     """
     how = METHODS[method]
     edges = cut_lineage(edges.select("src", "dst"))
-    graph = nodes(edges)
+    graph = cut_lineage(nodes(edges, vertices))
     n = graph.count()
     if not n:
         return graph.select("node", F.lit(0.0).alias("rank"))
-    path = _share(edges) if edges.limit(local_links + 1).count() <= local_links else None
+    small = n <= local_links and edges.limit(local_links + 1).count() <= local_links
+    path = _share(edges, graph) if small else None
     seen = _walk_local(edges, walks, n, how, bored, seed, path) if path else _walk_steps(edges, graph, walks, n, how, bored, seed)
     seen = cut_lineage(seen)
     total = F.broadcast(seen.agg(F.sum("n").alias("total")))  # one row
@@ -154,7 +156,7 @@ def _walk_steps(edges: DataFrame, graph: DataFrame, walks: int, n: int, how: Met
     """(node, n) step by step."""
     pairs = ranked_pairs(edges.select("src", "dst"), "src", "dst", 1)
     links = cut_lineage(pairs.select(F.col("src").alias("node"), F.col("piece").alias("link"), "dst"))
-    numbered = cut_lineage(dense_ids(graph, "node", "number").join(out_degree(edges), "node"))
+    numbered = cut_lineage(dense_ids(graph, "node", "number").join(out_degree(edges, graph), "node"))
     if how.cyclic:
         frontier = numbered.select("node", F.lit(walks // n).cast("bigint").alias("walkers"))
     else:

@@ -41,6 +41,15 @@ def test_pagerank(edges):
     assert abs(sum(done.values()) - 1) < 1e-9 and all(abs(done[k] - want[k]) < 1e-7 for k in want)
 
 
+def test_nodes_without_links(spark, edges):
+    alone = spark.createDataFrame([(50,), (1,), (None,), (51,)], "node bigint")
+    got = {r.node: r["rank"] for r in graph.pagerank(edges, iterations=300, tolerance=1e-10, vertices=alone).collect()}
+    assert len(got) == 11 and abs(sum(got.values()) - 1) < 1e-9 and got[50] == got[51] > 0
+    for local in (0, 1000):
+        walked = {r.node: r["rank"] for r in walks.monte_carlo(edges, 20_000 if local else 1100, 2, local_links=local, vertices=alone).collect()}
+        assert walked.keys() == got.keys() and max(abs(walked[k] - got[k]) for k in got) < (0.02 if local else 0.08)
+
+
 def test_degrees(edges):
     assert {r.node: r.out for r in graph.out_degree(edges).collect()} == {1: 2, 2: 2, 3: 1, 4: 1, 5: 0, 6: 1, 7: 1, 8: 1, 9: 1}
 
