@@ -31,9 +31,9 @@ def bag(names: list[str], rows) -> Counter:
 
 def compare(con, df, sql: str) -> str:
     """'' if both give the same columns and rows, else what differs."""
-    table = con.execute(sql).to_arrow_table() if hasattr(con.execute("select 1"), "to_arrow_table") else con.execute(sql).arrow()
-    want_names = table.column_names
-    want = bag(want_names, zip(*[c.to_pylist() for c in table.columns], strict=True))
+    found = con.execute(sql)
+    want_names = [d[0] for d in found.description]
+    want = bag(want_names, found.fetchall())
     got = bag(df.columns, df.collect())
     if sorted(want_names) != sorted(df.columns):
         return f"columns {sorted(df.columns)}, wanted {sorted(want_names)}"
