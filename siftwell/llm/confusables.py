@@ -13,6 +13,12 @@ from functools import cache, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.operators.skew import checked_broadcast_join
+from siftwell.session import cut_lineage
+
+#: Texts to be changed that are broadcast at most.
+CHANGES = 100_000
+
 # Letters of other scripts and the Latin letters they can't be told from.
 _CYRILLIC = "АВЕКМНОРСТУХЅІЈҺԚԜӀаеорсухѕіјһԁԛԝ"
 _CYRILLIC_LATIN = "ABEKMHOPCTYXSIJHQWIaeopcyxsijhdqw"
@@ -100,6 +106,24 @@ def looks(text: Column) -> Column:
     return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), joined().items(), mapped)
 
 
+@cache
+def _bases() -> dict[str, str]:
+    """Each character of the first plane to the base letter of what it looks like, without its accents."""
+    table = one_to_one() | {chr(cp): chr(cp) for cp in range(0x80, 0x10000) if not 0xAC00 <= cp <= 0xD7A3 and not 0xD800 <= cp <= 0xDFFF}
+    first = {c: unicodedata.normalize("NFD", to)[0] for c, to in table.items()}
+    first = {c: one_to_one().get(to, to) for c, to in first.items()}
+    return {c: to for c, to in first.items() if c != to}
+
+
+def _block(text: Column) -> Column:
+    """A hash that texts of one class share: of the base letters and digits only. It is computed row by row, where keys of
+    the collation would have to be sorted."""
+    pairs = _bases()
+    plain = reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), joined().items(), text)
+    plain = F.translate(plain, "".join(pairs), "".join(pairs.values()))
+    return F.xxhash64(F.regexp_replace(plain, "[^\\p{L}\\p{N}]+|[\u1100-\u11ff\uac00-\ud7a3]+", ""))
+
+
 def _oddness(text: Column) -> Column:
     """How far a spelling is from the usual one: changes of script within a word, then odd signs, then foreign letters."""
     switches = F.regexp_count(text, F.lit(r"\p{IsLatin}(?=[\p{IsCyrillic}\p{IsGreek}])|[\p{IsCyrillic}\p{IsGreek}](?=\p{IsLatin})"))
@@ -109,15 +133,22 @@ def _oddness(text: Column) -> Column:
     return F.struct((switches + odd).alias("odd"), F.regexp_count(text, F.lit(r"[\p{IsCyrillic}\p{IsGreek}]")).alias("foreign"), text.alias("text"))
 
 
+def _candidates(df: DataFrame, text: str) -> DataFrame:
+    """(text), distinct, of rows whose block holds several texts. Only hashes are shuffled to find them."""
+    rows = df.select(F.col(text).alias("text")).where(F.col("text").isNotNull()).withColumn("block", _block(F.col("text")))
+    spellings = rows.select("block", F.xxhash64("text", F.length("text")).alias("x"), F.hash("text").alias("y")).distinct()
+    several = spellings.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("block")
+    return checked_broadcast_join(rows, cut_lineage(several), ["block"], "left_semi").select("text").distinct()
+
+
 def look_alike_classes(df: DataFrame, text: str) -> DataFrame:
     """Every distinct text that shares its look with another one: (text, canonical, class_id, variants).
 
-    Rows of a text are first counted together, so a text that fills the table is one row here. Texts that stand alone
+    Equal texts are one row from the start, and texts that are alone in their block go no further. Texts that stand alone
     have no row. Null texts have none; the empty text and texts of signs without extent are one class. class_id is the
     MD5 of the canonical text.
     """
-    variants = df.select(F.col(text).alias("text")).where(F.col("text").isNotNull()).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
-    variants = variants.withColumn("look", F.collate(looks(F.col("text")), "UNICODE")).drop("n")
+    variants = cut_lineage(_candidates(df, text)).withColumn("look", F.collate(looks(F.col("text")), "UNICODE"))
     classes = variants.groupBy("look").agg(F.min(_oddness(F.col("text"))).alias("best"), F.count(F.lit(1)).alias("variants"))
     classes = classes.where(F.col("variants") > 1).select("look", F.col("best.text").alias("canonical"), "variants")
     joined_back = variants.join(classes, "look").drop("look")
@@ -127,9 +158,9 @@ def look_alike_classes(df: DataFrame, text: str) -> DataFrame:
 def unify(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """keys, text, canonical of every row: canonical is the one consistent form of all texts that look like text. Null
     texts stay null, rows stay as many as they are, other columns are dropped."""
-    changes = look_alike_classes(df, text).where(F.col("text") != F.col("canonical")).select(F.col("text").alias("__text"), "canonical")
+    changes = look_alike_classes(df, text).where(F.col("text") != F.col("canonical")).select("text", "canonical")
     rows = df.select(*keys, F.col(text).alias("text"))
-    out = rows.join(changes, F.col("text") == F.col("__text"), "left")
+    out = checked_broadcast_join(rows, cut_lineage(changes), ["text"], "left", CHANGES)
     return out.select(*keys, "text", F.coalesce("canonical", "text").alias("canonical"))
 
 
