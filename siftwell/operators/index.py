@@ -17,9 +17,11 @@ def token_table(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def postings_of(token_rows: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, positions), positions ascending. One shuffle by (term, doc_id): a common term is spread over its documents."""
-    grouped = token_rows.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    return grouped.select("term", "doc_id", "tf", "positions")
+    """(term, doc_id, tf, positions, length), positions ascending, from (doc_id, pos, term, length). The document's length stands
+    beside each posting, so a ranking needs no join with the documents. One shuffle by (term, doc_id): a common term is
+    spread over its documents."""
+    grouped = token_rows.groupBy("term", "doc_id")
+    return grouped.agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.first("length").alias("length"))
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:
@@ -49,7 +51,7 @@ def kgram_index(terms: DataFrame, k: int = 2) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """postings(term, doc_id, tf, positions) and docs(doc_id, name, length); all lazy, built or read."""
+    """postings(term, doc_id, tf, positions, length) and docs(doc_id, name, length); all lazy, built or read."""
 
     postings: DataFrame
     docs: DataFrame
@@ -60,7 +62,8 @@ class Index:
         array = words if words is not None else tokens(F.col(text))
         label = F.col(name) if name else F.concat(F.lit("docs/"), F.col(doc_id).cast("string"))
         docs = documents.select(F.col(doc_id).alias("doc_id"), label.alias("name"), F.size(array).alias("length"))
-        return cls(postings_of(token_table(documents, doc_id, text, array)), docs)
+        words_of = documents.select(F.col(doc_id).alias("doc_id"), array.alias("w"))
+        return cls(postings_of(words_of.select("doc_id", F.size("w").alias("length"), F.posexplode("w").alias("pos", "term"))), docs)
 
     @property
     def terms(self) -> DataFrame:
@@ -81,7 +84,7 @@ class Index:
 
     def held(self, positions: bool = False) -> Index:
         """The postings written to the checkpoint folder once, for a query that reads them several times."""
-        columns = ["term", "doc_id", "tf", *["positions"] * positions]
+        columns = ["term", "doc_id", "tf", "length", *["positions"] * positions]
         return replace(self, postings=cut_lineage(self.postings.select(*columns)))
 
     def merged(self, other: Index) -> Index:

@@ -30,12 +30,12 @@ def matched(index: Index, slots: DataFrame, literal: list[str] | None = None) ->
     return checked_broadcast_join(postings, slots, ["term"])
 
 
-def if_all_known(rows: DataFrame, index: Index, literal: list[str]) -> DataFrame:
-    """rows, or none of them if a term of the query isn't in the index."""
+def if_all_known(rows: DataFrame, literal: list[str]) -> DataFrame:
+    """rows, or none of them if a term of the query has none."""
     wanted = sorted(set(literal))
     if not wanted:
         return rows
-    known = index.postings.where(F.col("term").isin(wanted)).select("term").distinct()
+    known = rows.where(F.col("term").isin(wanted)).select("term").distinct()
     known = known.agg((F.count(F.lit(1)) == len(wanted)).alias("__known"))  # one row
     return rows.join(F.broadcast(known)).where("__known").drop("__known")
 
@@ -67,9 +67,8 @@ def tfidf(index: Index, rows: DataFrame, exact_division: bool = False) -> DataFr
     df = rows.select("term", "doc_id").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     ratio = F.col("n_docs") / F.col("df")
     idf = df.join(n).select("term", F.log(ratio if exact_division else F.floor(ratio).cast("double")).alias("idf"))
-    scored = checked_broadcast_join(rows.select("term", "doc_id", "tf", "weight"), idf, ["term"])
-    total = scored.groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("tf") * F.col("idf")).alias("total"))
-    out = total.join(index.docs.select("doc_id", "length"), "doc_id")
+    scored = checked_broadcast_join(rows.select("term", "doc_id", "tf", "length", "weight"), idf, ["term"])
+    out = scored.groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("tf") * F.col("idf")).alias("total"), F.first("length").alias("length"))
     return out.select("doc_id", F.coalesce(F.try_divide(F.col("total"), F.col("length")), F.lit(0.0)).alias("score"))
 
 

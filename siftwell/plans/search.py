@@ -1,4 +1,5 @@
-"""The search engine: one entry point over an index, link graph and page ranks. Everything it returns is lazy."""
+"""The search engine: one entry point over an index, link graph and page ranks. Ranked searches write the query's postings once, what they
+return is lazy."""
 
 from __future__ import annotations
 
@@ -70,12 +71,13 @@ class Searcher:
         if literal is None:
             slots = cut_lineage(slots)  # read to check its size, and to join
         rows = retrieval.matched(self.index, slots, literal)
-        rows = retrieval.if_all_known(rows, self.index, [t for t, _ in terms if wildcard.WILD not in t])
         if kind is QueryType.INTERSECTION:
             return retrieval.intersection(rows, len(terms))
         if kind is QueryType.PHRASE:
             return retrieval.phrase(rows, len(terms))
-        return retrieval.by_score(self._ranked(rows if literal is not None else cut_lineage(rows), ranking))
+        rows = cut_lineage(rows.drop("positions"))  # the query's postings only; read for what is known, for df and to score
+        rows = retrieval.if_all_known(rows, [t for t, _ in terms if wildcard.WILD not in t])
+        return retrieval.by_score(self._ranked(rows, ranking))
 
     def _ranked(self, rows: DataFrame, ranking: Ranking) -> DataFrame:
         if ranking is Ranking.TFIDF:
@@ -89,7 +91,7 @@ class Searcher:
     def with_feedback(self, query: str, relevant: DataFrame) -> DataFrame:
         """(doc_id, score): the ranked search again, with weights learnt from documents marked as relevant (doc_id)."""
         weights = cut_lineage(feedback.rocchio(self.spark, self.index, parse(query), relevant))
-        rows = retrieval.matched(self.index, feedback.feedback_slots(weights))
+        rows = cut_lineage(retrieval.matched(self.index, feedback.feedback_slots(weights)))
         return retrieval.by_score(retrieval.tfidf(self.index, rows))
 
     def suggest(self, query: str, limit: int = 10) -> DataFrame:
