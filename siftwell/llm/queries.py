@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm import confusables, languages, leaks, packing, rankings, terms
+from siftwell.session import cut_lineage
 
 #: The tokenizer's file of BPE ranks, which every executor has at this path.
 VOCABULARY = os.environ.get("SIFTWELL_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -24,7 +25,7 @@ def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _distinctive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms.distinctiveness(_postings(spark, sf_dir), _table(spark, sf_dir, "feedback_docs").select("doc_id"))
+    return terms.distinctiveness(cut_lineage(_postings(spark, sf_dir)), _table(spark, sf_dir, "feedback_docs").select("doc_id"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
