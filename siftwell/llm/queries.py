@@ -34,7 +34,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _distinctive(spark, sf_dir)
-    return s.select(F.col("record").alias("doc_id"), F.col("term").alias("token"), "tf", "df", "cf", F.round("ridf", 6).alias("ridf"), F.round("score", 6).alias("score"))
+    return s.select(F.col("record").alias("doc_id"), F.col("term").alias("token"), "tf", "df", "cf", F.round("ridf", 6).alias("ridf"), F.round("residual", 6).alias("residual"), F.round("score", 6).alias("score"))
 
 
 def _frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,8 +143,8 @@ _SCORES = (
     _VALID
     + """,
 stats AS (SELECT token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM valid GROUP BY token),
-ridf AS (SELECT token, df, cf, log2(n / df) + log2(1 - exp(-cf / n)) AS ridf FROM stats, size),
-scores AS (SELECT v.doc_id, v.token, v.tf, r.df, r.cf, r.ridf, v.tf * r.ridf AS score FROM valid v JOIN ridf r USING (token)
+ridf AS (SELECT token, df, cf, log2(n / df) + log2(1 - exp(-cf / n)) AS ridf, greatest(n / df - 1 / (1 - exp(-cf / n)), 0) AS residual FROM stats, size),
+scores AS (SELECT v.doc_id, v.token, v.tf, r.df, r.cf, r.ridf, r.residual, v.tf * log2(1 + r.residual) AS score FROM valid v JOIN ridf r USING (token)
   WHERE v.doc_id IN (SELECT doc_id FROM feedback_docs))"""
 )
 
@@ -183,7 +183,7 @@ QUERIES = {
 
 SQL = {
     "p3_found": _SCORES + " SELECT doc_id, token FROM scores QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, token) = 1",
-    "p3_scores": _SCORES + " SELECT doc_id, token, tf, df, cf, round(ridf, 6) AS ridf, round(score, 6) AS score FROM scores",
+    "p3_scores": _SCORES + " SELECT doc_id, token, tf, df, cf, round(ridf, 6) AS ridf, round(residual, 6) AS residual, round(score, 6) AS score FROM scores",
     "p4_found": _FREQUENCIES + " SELECT token, mark FROM marked WHERE mark <> 'useful'",
     "p4_frequencies": _FREQUENCIES + " SELECT token, occurrences, records, mark FROM marked",
     "p4_containers": _VALID + " SELECT token, doc_id // 65536 AS container, count(DISTINCT doc_id // 64) AS words, count(*) AS records, CAST(sum(tf) AS BIGINT) AS occurrences FROM valid GROUP BY token, doc_id // 65536",

@@ -61,22 +61,28 @@ def term_frequencies(bitmaps: DataFrame, rare_records: int = 1, common_share: fl
 def distinctiveness(postings: DataFrame, records: DataFrame | None = None, term: str = "token", record: str = "doc_id", count: str = "tf") -> DataFrame:
     """How characteristic each term is of each record, by residual inverse document frequency.
 
-    (record, term, tf, df, cf, ridf, score): df is the number of records with the term, cf its occurrences, N the number of
-    records with any term. ridf = log2(N / df) - expected, expected = -log2(1 - exp(-cf / N)), the value of a term whose
-    occurrences fall on records at random; score = tf * ridf. postings has one row for each term and record; records (a
-    set of ids in its first column) limits the records that come out, not those counted. Occurrences below 1 count 0.
+    (record, term, tf, df, cf, ridf, residual, score): df is the number of records with the term, cf its occurrences, N the
+    number of records with any term. A term whose cf occurrences fell on records at random would stand in
+    N * (1 - exp(-cf / N)) of them. residual is the observed inverse frequency N / df minus the one so expected, 0 at
+    least, and score = tf * log2(1 + residual). ridf is the difference of the two logarithms, the usual form, for
+    comparison: where records are in several languages it isn't fit for the score, as the common words of one language
+    stand in much fewer records than chance has it and outweigh rare terms by their number in a record.
+
+    postings has one row for each term and record; records (a set of ids in its first column) limits the records that come
+    out, not those counted. Occurrences below 1 count 0; a term in all records scores 0.
     """
     rows = postings.select(F.col(term).alias("term"), F.col(record).alias("record"), F.greatest(F.coalesce(F.col(count), F.lit(0)), F.lit(0)).cast("bigint").alias("tf"))
     rows = rows.where(F.col("term").isNotNull() & F.col("record").isNotNull() & (F.col("tf") > 0))
     n = F.broadcast(rows.select("record").distinct().agg(F.count(F.lit(1)).cast("double").alias("n")))  # one row
     terms = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).join(n)
-    observed, expected = F.log2(F.col("n") / F.col("df")), -F.log2(1 - F.exp(-F.col("cf") / F.col("n")))
-    terms = terms.select("term", "df", "cf", (observed - expected).alias("ridf"))
+    observed, expected = F.col("n") / F.col("df"), -1 / F.expm1(-F.col("cf") / F.col("n"))
+    residual = F.greatest(observed - expected, F.lit(0.0))
+    terms = terms.select("term", "df", "cf", (F.log2(observed) - F.log2(expected)).alias("ridf"), residual.alias("residual"))
     if records is not None:
         wanted = records.select(F.col(records.columns[0]).alias("record")).dropna().distinct()
         rows = checked_broadcast_join(rows, wanted, ["record"], "left_semi")
     scored = checked_broadcast_join(rows, terms, ["term"])
-    return scored.select("record", "term", "tf", "df", "cf", "ridf", (F.col("tf") * F.col("ridf")).alias("score"))
+    return scored.select("record", "term", "tf", "df", "cf", "ridf", "residual", (F.col("tf") * F.log2(1 + F.col("residual"))).alias("score"))
 
 
 def most_distinctive(scores: DataFrame, k: int = 1) -> DataFrame:

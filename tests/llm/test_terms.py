@@ -65,7 +65,9 @@ def test_distinctiveness(spark):
     for r in got:
         mine = [v for (x, _), v in want.items() if x == r.term]
         ridf = math.log2(n / len(mine)) + math.log2(1 - math.exp(-sum(mine) / n))
-        assert (r.df, r.cf) == (len(mine), sum(mine)) and abs(r.ridf - ridf) < 1e-9 and abs(r.score - r.tf * ridf) < 1e-9
+        residual = max(0.0, n / len(mine) - 1 / (1 - math.exp(-sum(mine) / n)))
+        assert (r.df, r.cf) == (len(mine), sum(mine)) and abs(r.ridf - ridf) < 1e-9
+        assert abs(r.residual - residual) < 1e-9 and abs(r.score - r.tf * math.log2(1 + residual)) < 1e-9
     best = {r.record: r.term for r in terms.most_distinctive(terms.distinctiveness(terms.valid_postings(*t), asked)).collect()}
     assert best == {d: min((r for r in got if r.record == d), key=lambda r: (-r.score, r.term)).term for d in (3, 9)}
 
@@ -75,3 +77,11 @@ def test_empty(spark):
     none = terms.valid_postings(p.limit(0), n, d)
     assert none.count() == terms.term_frequencies(terms.term_bitmaps(none)).count() == terms.distinctiveness(none).count() == 0
     assert terms.valid_postings(p, n.limit(0), d).count() == 0
+
+
+def test_several_languages(spark):
+    """A name in few records beats a common word of the record's language, however often that stands in it."""
+    rows = [(d, w, 30) for d in range(100) for w in (["the", "of"] if d < 40 else ["det", "och"])] + [(3, "thoville", 8), (50, "thoville", 1), (7, "once", 1)]
+    df = spark.createDataFrame([(w, d, tf) for d, w, tf in rows], "token string, doc_id bigint, tf int")
+    best = {r.record: r.term for r in terms.most_distinctive(terms.distinctiveness(df)).collect()}
+    assert best[3] == "thoville" and best[7] == "of"
