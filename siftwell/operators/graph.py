@@ -54,11 +54,13 @@ def pagerank(edges: DataFrame, iterations: int = 50, tolerance: float | None = N
     links = edges.withColumnRenamed("src", "node")
     for _ in range(iterations):
         sent = links.join(ranks.where("out > 0").select("node", (F.col("rank") / F.col("out")).alias("share")), "node")
-        got = sent.groupBy(F.col("dst").alias("node")).agg(F.sum("share").alias("got"))
+        none = F.lit(None)
+        sent = sent.select(F.col("dst").alias("node"), "share", none.cast("bigint").alias("out"), none.cast("double").alias("before"))
+        own = ranks.select("node", F.lit(0.0).alias("share"), "out", F.col("rank").alias("before"))
+        step = sent.unionAll(own).groupBy("node").agg(F.sum("share").alias("got"), F.max("out").alias("out"), F.max("before").alias("before"))
         lost = F.broadcast(ranks.agg(F.coalesce(F.sum(F.when(F.col("out") == 0, F.col("rank"))), F.lit(0.0)).alias("lost")))  # one row
-        step = ranks.join(got, "node", "left").join(lost)
-        rank = F.lit(bored / n) + (1 - bored) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)
-        step = cut_lineage(step.select("node", "out", rank.alias("rank"), F.col("rank").alias("before")))
+        rank = F.lit(bored / n) + (1 - bored) * (F.col("got") + F.col("lost") / n)
+        step = cut_lineage(step.join(lost).select("node", "out", rank.alias("rank"), "before"))
         ranks = step.drop("before")
         if tolerance is not None:
             change = step.agg(F.sum(F.pow(F.col("rank") - F.col("before"), 2))).first()[0]
@@ -89,13 +91,14 @@ def hits(edges: DataFrame, base: DataFrame | None = None, iterations: int = 5, t
     behind = cut_lineage(edges.join(base.withColumnRenamed("node", "dst"), "dst", "left_semi"))
     scores = None
     for _ in range(iterations):
+        zero, one = F.lit(0.0), F.lit(1.0)
         if scores is None:
-            hubs = ahead.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).cast("double").alias("hub"))
-            auths = behind.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).cast("double").alias("authority"))
+            hubs, auths = ahead.select(F.col("src").alias("node"), one.alias("hub")), behind.select(F.col("dst").alias("node"), one.alias("authority"))
         else:
-            hubs = ahead.join(scores.select(F.col("node").alias("dst"), "authority"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum("authority").alias("hub"))
-            auths = behind.join(scores.select(F.col("node").alias("src"), "hub"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("hub").alias("authority"))
-        both = base.join(hubs, "node", "left").join(auths, "node", "left").select("node", F.coalesce("hub", F.lit(0.0)).alias("hub"), F.coalesce("authority", F.lit(0.0)).alias("authority"))
+            hubs = ahead.join(scores.select(F.col("node").alias("dst"), "authority"), "dst").select(F.col("src").alias("node"), F.col("authority").alias("hub"))
+            auths = behind.join(scores.select(F.col("node").alias("src"), "hub"), "src").select(F.col("dst").alias("node"), F.col("hub").alias("authority"))
+        parts = hubs.select("node", "hub", zero.alias("authority")).unionAll(auths.select("node", zero, "authority")).unionAll(base.select("node", zero, zero))
+        both = parts.groupBy("node").agg(F.sum("hub").alias("hub"), F.sum("authority").alias("authority"))
         lengths = F.broadcast(both.agg(F.sqrt(F.sum(F.col("hub") * F.col("hub"))).alias("lh"), F.sqrt(F.sum(F.col("authority") * F.col("authority"))).alias("la")))  # one row
         unit = lambda c, length: F.coalesce(F.try_divide(F.col(c), F.col(length)), F.lit(0.0)).alias(c)
         step = cut_lineage(both.join(lengths).select("node", unit("hub", "lh"), unit("authority", "la")))
