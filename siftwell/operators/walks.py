@@ -189,3 +189,9 @@ def _walk_steps(edges: DataFrame, graph: DataFrame, walks: int, n: int, how: Met
     for v in visits[1:]:
         seen = seen.unionByName(v)
     return seen.groupBy("node").agg(F.sum("walkers").alias("n"))
+
+
+def sweep(n_nodes: int) -> list[int]:
+    """The numbers of walks to compare methods at: one to ten times each power of ten from the number of nodes' to two above."""
+    least = len(str(max(1, n_nodes))) - 1
+    return [k * 10**m for m in range(least, least + 3) for k in range(1, 11)]
