@@ -14,6 +14,7 @@ from siftwell.session import ship_package
 
 #: Containers a packer holds open.
 OPEN_BINS = 64
+LONG_TEXT = 100_000
 
 
 @cache
@@ -26,9 +27,21 @@ def _encoding(path: str, pattern: str):
 
 
 def token_counter(path: str, pattern: str) -> Callable[[str], int]:
-    """Counts the tokens of a text by a byte-level BPE given as a file of ranks."""
-    encode = _encoding(path, pattern).encode_ordinary
-    return lambda text: len(encode(text))
+    """Counts the tokens of a text by a byte-level BPE given as a file of ranks.
+
+    The encoder splits texts by recursion and overflows on runs of some hundred thousand letters, so texts above LONG_TEXT
+    characters are split here by the same pattern, piece by piece; the tokens are the same.
+    """
+    import regex
+
+    encoding, pieces = _encoding(path, pattern), regex.compile(pattern)
+
+    def count(text: str) -> int:
+        if len(text) <= LONG_TEXT:
+            return len(encoding.encode_ordinary(text))
+        return sum(len(encoding._encode_single_piece(m.group())) for m in pieces.finditer(text))
+
+    return count
 
 
 class BestFit:

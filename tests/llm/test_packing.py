@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from siftwell.llm import packing
 from siftwell.llm.packing import BestFit, pack, token_counter
 
 public = pytest.importorskip("public_tokenizers")
@@ -77,6 +78,15 @@ def test_documents(spark, capacity):
         assert sum(filled.values()) / (capacity * len(filled)) > 0.9
 
 
+def test_long_texts(monkeypatch):
+    count = token_counter(VOCABULARY, public.PATTERN)
+    text = "ferry Brücke  don't 12.5 \n\n жук ... " * 50
+    short = count(text)
+    monkeypatch.setattr(packing, "LONG_TEXT", 10)
+    assert count(text) == short
+    assert count("x" * 1_500_000) == 1_500_000 // 8 and count(" " * 600_000 + "x") > 0
+
+
 def test_repeated_and_empty(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "doc_id bigint, text string")
     assert pack(df, 64, VOCABULARY, public.PATTERN).count() == 3
