@@ -7,13 +7,17 @@ writes its vector to the checkpoint folder, because the next reads it more than
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from siftwell.session import cut_lineage
+from siftwell.session import cut_lineage, cut_lineage_in_place, shuffle_width
 
 BORED = 0.15
+#: Links of one node that stay together whatever the size of the graph.
+HOT_LINKS = 100_000
 
 
 def clean_edges(rows: DataFrame, src: Column, dst: Column) -> DataFrame:
@@ -39,6 +43,46 @@ def transpose(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
+@dataclass(frozen=True)
+class PlacedLinks:
+    """Links that stay where a join on one end needs them, step after step, sorted: only the vector is shuffled to them.
+
+    A node with more than its share of links has these spread over several salts, and its score is repeated for each. Such
+    nodes hold over total / (4 * partitions) links, so there are at most 4 * partitions of them.
+    """
+
+    links: DataFrame
+    hot: DataFrame | None
+    end: str
+
+    @classmethod
+    def by(cls, edges: DataFrame, end: str) -> PlacedLinks:
+        width = shuffle_width(edges.sparkSession)
+        other = "dst" if end == "src" else "src"
+        counts = edges.groupBy(F.col(end).alias("node")).agg(F.count(F.lit(1)).alias("n"))
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        limit = max(HOT_LINKS, -(-total // (4 * width)))
+        hot = None
+        links = edges.select(F.col(end).alias("node"), F.col(other).alias("other"))
+        keys = ["node"]
+        if total > limit and (found := counts.where(F.col("n") > limit).collect()):
+            shape = StructType([StructField("node", edges.schema[end].dataType), StructField("salts", IntegerType())])
+            hot = edges.sparkSession.createDataFrame([(r["node"], -(-r["n"] // limit)) for r in found], shape)
+            links = links.join(F.broadcast(hot), "node", "left")
+            keys = ["node", "salt"]
+            links = links.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("other"), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
+        links = links.repartition(width, *keys).sortWithinPartitions(*keys)
+        return cls(cut_lineage_in_place(links), hot, end)
+
+    def carry(self, scores: DataFrame, score: str) -> DataFrame:
+        """(node, score): the score of each link's end, at its other end."""
+        scores, keys = scores.select("node", score), ["node"]
+        if self.hot is not None:
+            salts = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
+            scores, keys = scores.join(F.broadcast(self.hot), "node", "left").select("node", F.explode(salts).alias("salt"), score), ["node", "salt"]
+        return self.links.join(scores.hint("merge"), keys).select(F.col("other").alias("node"), score)
+
+
 def pagerank(edges: DataFrame, iterations: int = 50, tolerance: float | None = None, bored: float = BORED, start: str = "first", vertices: DataFrame | None = None) -> DataFrame:
     """(node, rank), ranks sum to 1. A surfer jumps anywhere with probability bored and from a dangling node, else follows a
     link. start 'first' puts the surfer on the least node, 'uniform' anywhere. With a tolerance the loop ends once the
@@ -51,11 +95,11 @@ def pagerank(edges: DataFrame, iterations: int = 50, tolerance: float | None = N
         return degrees.select("node", F.lit(0.0).alias("rank"))
     first = F.when(F.col("node") == F.lit(size["least"]), 1.0).otherwise(0.0) if start == "first" else F.lit(1.0 / n)
     ranks = degrees.select("node", "out", first.alias("rank"))
-    links = edges.withColumnRenamed("src", "node")
+    links = PlacedLinks.by(edges, "src")
     for _ in range(iterations):
-        sent = links.join(ranks.where("out > 0").select("node", (F.col("rank") / F.col("out")).alias("share")), "node")
+        sent = links.carry(ranks.where("out > 0").select("node", (F.col("rank") / F.col("out")).alias("share")), "share")
         none = F.lit(None)
-        sent = sent.select(F.col("dst").alias("node"), "share", none.cast("bigint").alias("out"), none.cast("double").alias("before"))
+        sent = sent.select("node", "share", none.cast("bigint").alias("out"), none.cast("double").alias("before"))
         own = ranks.select("node", F.lit(0.0).alias("share"), "out", F.col("rank").alias("before"))
         step = sent.unionAll(own).groupBy("node").agg(F.sum("share").alias("got"), F.max("out").alias("out"), F.max("before").alias("before"))
         lost = F.broadcast(ranks.agg(F.coalesce(F.sum(F.when(F.col("out") == 0, F.col("rank"))), F.lit(0.0)).alias("lost")))  # one row
@@ -90,13 +134,14 @@ def hits(edges: DataFrame, base: DataFrame | None = None, iterations: int = 5, t
     ahead = cut_lineage(edges.join(base.withColumnRenamed("node", "src"), "src", "left_semi"))
     behind = cut_lineage(edges.join(base.withColumnRenamed("node", "dst"), "dst", "left_semi"))
     scores = None
+    to_hubs, to_authorities = (PlacedLinks.by(ahead, "dst"), PlacedLinks.by(behind, "src")) if iterations > 1 else (None, None)
     for _ in range(iterations):
         zero, one = F.lit(0.0), F.lit(1.0)
         if scores is None:
             hubs, auths = ahead.select(F.col("src").alias("node"), one.alias("hub")), behind.select(F.col("dst").alias("node"), one.alias("authority"))
         else:
-            hubs = ahead.join(scores.select(F.col("node").alias("dst"), "authority"), "dst").select(F.col("src").alias("node"), F.col("authority").alias("hub"))
-            auths = behind.join(scores.select(F.col("node").alias("src"), "hub"), "src").select(F.col("dst").alias("node"), F.col("hub").alias("authority"))
+            hubs = to_hubs.carry(scores, "authority").withColumnRenamed("authority", "hub")
+            auths = to_authorities.carry(scores, "hub").withColumnRenamed("hub", "authority")
         parts = hubs.select("node", "hub", zero.alias("authority")).unionAll(auths.select("node", zero, "authority")).unionAll(base.select("node", zero, zero))
         both = parts.groupBy("node").agg(F.sum("hub").alias("hub"), F.sum("authority").alias("authority"))
         lengths = F.broadcast(both.agg(F.sqrt(F.sum(F.col("hub") * F.col("hub"))).alias("lh"), F.sqrt(F.sum(F.col("authority") * F.col("authority"))).alias("la")))  # one row

@@ -53,6 +53,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_lineage_in_place(df: DataFrame) -> DataFrame:
+    """The same, but plans go on knowing how df is partitioned and sorted. They only do where it was planned as it stands, so
+    adaptive planning is off for this one step."""
+    conf = df.sparkSession.conf
+    before = conf.get("spark.sql.adaptive.enabled", "true")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut_lineage(df)
+    finally:
+        conf.set("spark.sql.adaptive.enabled", before)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

@@ -31,7 +31,10 @@ def edges(spark):
 CLEAN = [e for e in LINKS if None not in e]
 
 
-def test_pagerank(edges):
+@pytest.mark.parametrize("hot", [100_000, 1])
+def test_pagerank(edges, monkeypatch, hot):
+    monkeypatch.setattr(graph, "HOT_LINKS", hot)
+    monkeypatch.setattr(graph, "shuffle_width", lambda _: 8)  # few links are hot already
     for steps in (1, 7):
         got = {r.node: r["rank"] for r in graph.pagerank(edges, iterations=steps).collect()}
         want = dense(CLEAN, steps)
@@ -51,11 +54,23 @@ def test_nodes_without_links(spark, edges):
     assert stepped.keys() == got.keys() and abs(stepped[50] - stepped[51]) < 0.05
 
 
+def test_hot_links_are_spread(edges, monkeypatch):
+    monkeypatch.setattr(graph, "HOT_LINKS", 1)
+    monkeypatch.setattr(graph, "shuffle_width", lambda _: 8)
+    placed = graph.PlacedLinks.by(edges, "src")
+    assert {r.node: r.salts for r in placed.hot.collect()} == {1: 2, 2: 2}
+    got = placed.carry(graph.out_degree(edges).withColumnRenamed("out", "v"), "v").collect()
+    assert sorted(map(tuple, got)) == sorted((b, {1: 2, 2: 2}.get(a, 1)) for a, b in set(CLEAN))
+
+
 def test_degrees(edges):
     assert {r.node: r.out for r in graph.out_degree(edges).collect()} == {1: 2, 2: 2, 3: 1, 4: 1, 5: 0, 6: 1, 7: 1, 8: 1, 9: 1}
 
 
-def test_base_set_and_hits(spark, edges):
+@pytest.mark.parametrize("hot", [100_000, 1])
+def test_base_set_and_hits(spark, edges, monkeypatch, hot):
+    monkeypatch.setattr(graph, "HOT_LINKS", hot)
+    monkeypatch.setattr(graph, "shuffle_width", lambda _: 8)
     base = graph.base_set(edges, spark.createDataFrame([(2,)], "node bigint"))
     assert sorted(r.node for r in base.collect()) == [1, 2, 5]
     ids = [1, 2, 5]
