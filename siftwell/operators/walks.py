@@ -136,7 +136,7 @@ def monte_carlo(edges: DataFrame, walks: int, method: int, bored: float = BORED,
     """(node, rank): visits of each node over all visits, 0 for nodes never visited; no nodes give no rows. vertices
     (node) adds nodes without links.
 
-    With a cyclic start each node begins walks // nodes walks. Methods: see METHODS. Equal arguments give equal walks.
+    With a cyclic start each node begins walks // nodes walks, at least one. Methods: see METHODS. Equal arguments give equal walks.
     """
     how = METHODS[method]
     edges = cut_lineage(edges.select("src", "dst"))
@@ -144,6 +144,8 @@ def monte_carlo(edges: DataFrame, walks: int, method: int, bored: float = BORED,
     n = graph.count()
     if not n:
         return graph.select("node", F.lit(0.0).alias("rank"))
+    if how.cyclic and walks < n:
+        raise ValueError(f"{walks} walks can't begin at each of {n} nodes")
     small = n <= local_links and edges.limit(local_links + 1).count() <= local_links
     path = _share(edges, graph) if small else None
     seen = _walk_local(edges, walks, n, how, bored, seed, path) if path else _walk_steps(edges, graph, walks, n, how, bored, seed)
@@ -191,6 +193,11 @@ def _walk_steps(edges: DataFrame, graph: DataFrame, walks: int, n: int, how: Met
     return seen.groupBy("node").agg(F.sum("walkers").alias("n"))
 
 
+def enough(n_nodes: int, least: int, per_node: int) -> int:
+    """The least number of walks, as many from each node, that is at least least and per_node of each node."""
+    return n_nodes * max(per_node, -(-least // max(1, n_nodes)))
+
+
 def sweep(n_nodes: int) -> list[int]:
     """The numbers of walks to compare methods at: one to ten times each power of ten from the number of nodes' to two above."""
     least = len(str(max(1, n_nodes))) - 1

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from siftwell.operators import evaluate, graph, linalg, walks
 from siftwell.operators.hotkeys import links_by_source
 from siftwell.plans.records import base_name, node_id, table
-from siftwell.session import checkpoint_dir
+from siftwell.session import checkpoint_dir, cut_lineage
 from siftwell.sources.files import read_links, top_lines
 
 STEPS = 8
+#: Random walks: as many from each node, at least so many together and of each node.
 WALKS = 1_000_000
+WALKS_PER_NODE = 20
 CUTOFFS = [10, 20, 30, 40, 50]
 ASSUMED_RELEVANT = 100
 
@@ -75,8 +77,16 @@ def graph_base_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.base_set(edges(spark, sf_dir), marked.join(info, "doc_id").join(titles, "title").select("node"))
 
 
+def _enough_walks(e: DataFrame) -> int:
+    return walks.enough(graph.nodes(e).count(), WALKS, WALKS_PER_NODE)
+
+
 def _walks(method: int):
-    return lambda spark, d: walks.monte_carlo(edges(spark, d), WALKS, method)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = cut_lineage(edges(spark, sf_dir))
+        return walks.monte_carlo(e, _enough_walks(e), method)
+
+    return run
 
 
 def graph_goodness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,11 +98,12 @@ def graph_goodness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph_goodness_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The goodness of each kind of random walk against power iteration."""
-    e = edges(spark, sf_dir)
+    e = cut_lineage(edges(spark, sf_dir))
     reference = graph.pagerank(e, iterations=100, tolerance=1e-7)
+    number = _enough_walks(e)
     out = None
     for m in (1, 2, 4, 5):
-        one = graph.goodness(reference, walks.monte_carlo(e, WALKS, m)).select(F.lit(m).alias("method"), F.lit(WALKS).alias("walks"), "goodness")
+        one = graph.goodness(reference, walks.monte_carlo(e, number, m)).select(F.lit(m).alias("method"), F.lit(number).alias("walks"), "goodness")
         out = one if out is None else out.unionAll(one)
     return out
 

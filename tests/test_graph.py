@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwell.operators import graph, walks
+from siftwell.plans import graph_queries
 
 LINKS = [(1, 2), (2, 1), (1, 3), (3, 3), (4, 1), (2, 5), (1, 2), (6, 7), (7, 5), (8, 1), (9, 1), (None, 1), (1, None)]
 
@@ -112,6 +113,19 @@ def test_local_walks_repeat(spark, edges):
     assert a == b
 
 
+def test_walks_grow_with_the_graph(spark, edges, monkeypatch):
+    assert [walks.enough(n, 1_000_000, 20) for n in (0, 3, 45_085, 5_000_000)] == [0, 1_000_002, 1_036_955, 100_000_000]
+    for method in (2, 4):
+        for local in (1000, 0):
+            with pytest.raises(ValueError, match="9 nodes"):
+                walks.monte_carlo(edges, 8, method, local_links=local)
+    monkeypatch.setattr(graph_queries, "WALKS", 5)  # fewer than nodes
+    monkeypatch.setattr(graph_queries, "edges", lambda *_: edges)
+    for method in (2, 4):
+        ranks = [r["rank"] for r in graph_queries.QUERIES[f"graph_mc{method}"](spark, "").collect()]
+        assert len(ranks) == 9 and abs(sum(ranks) - 1) < 1e-9
+
+
 def test_goodness(spark):
     ref = spark.createDataFrame([(i, i / 10) for i in range(5)], "node bigint, rank double")
     est = spark.createDataFrame([(4, 0.5), (3, 0.3), (0, 9.0)], "node bigint, rank double")
