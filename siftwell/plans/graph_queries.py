@@ -13,6 +13,7 @@ from siftwell.plans.records import base_name, node_id, table
 from siftwell.session import checkpoint_dir, cut_lineage
 from siftwell.sources.files import read_links, top_lines
 
+#: Power iteration where SQL unrolls it; short of convergence.
 STEPS = 8
 #: Random walks: as many from each node, at least so many together and of each node.
 WALKS = 1_000_000
@@ -53,17 +54,42 @@ def graph_pagerank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_lines(graph.pagerank(edges(spark, sf_dir), iterations=STEPS), "node", "rank")
 
 
+def _titled(spark: SparkSession, sf_dir: str, ranks: DataFrame) -> DataFrame:
+    titles = table(spark, sf_dir, "page_titles").select(node_id("node_id").alias("node"), "title").dropna().distinct()
+    return ranks.join(titles, "node").groupBy("title").agg(F.max("rank").alias("rank"))
+
+
 def graph_pagerank_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page ranks under the nodes' titles."""
-    titles = table(spark, sf_dir, "page_titles").select(node_id("node_id").alias("node"), "title").dropna().distinct()
-    ranks = graph.pagerank(edges(spark, sf_dir), iterations=STEPS).join(titles, "node")
-    return ranks.groupBy("title").agg(F.round(F.max("rank"), 9).alias("rank"))
+    found = _titled(spark, sf_dir, graph.pagerank(edges(spark, sf_dir), iterations=STEPS))
+    return found.select("title", F.round("rank", 9).alias("rank"))
 
 
 def graph_pagerank_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.pagerank(edges(spark, sf_dir), iterations=100, tolerance=1e-6)
 
 
+def _converged(e: DataFrame, start: str = "first") -> DataFrame:
+    """Ranks at the reference's tolerance and most steps."""
+    return graph.pagerank(e, iterations=1000, tolerance=1e-7, start=start)
+
+
+def graph_pagerank_uniform_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _converged(edges(spark, sf_dir), "uniform")
+
+
+def graph_pagerank_top_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.top(_converged(edges(spark, sf_dir)), "rank", 30)
+
+
+def graph_pagerank_lines_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_lines(_converged(edges(spark, sf_dir)), "node", "rank")
+
+
+def graph_pagerank_titles_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _titled(spark, sf_dir, _converged(edges(spark, sf_dir)))
+
+
 def graph_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = graph.hits(edges(spark, sf_dir), iterations=5)
     return scores.select("node", F.round("hub", 7).alias("hub"), F.round("authority", 7).alias("authority"))
@@ -96,10 +122,16 @@ def graph_goodness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.round("goodness", 9).alias("goodness"))
 
 
+def graph_goodness_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far a rank of few steps is from the converged one, over the latter's thirty best."""
+    e = cut_lineage(edges(spark, sf_dir))
+    return graph.goodness(_converged(e), graph.pagerank(e, iterations=STEPS))
+
+
 def graph_goodness_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The goodness of each kind of random walk against power iteration."""
     e = cut_lineage(edges(spark, sf_dir))
-    reference = graph.pagerank(e, iterations=100, tolerance=1e-7)
+    reference = _converged(e)
     number = _enough_walks(e)
     out = None
     for m in (1, 2, 4, 5):
@@ -194,7 +226,9 @@ def eval_set_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "graph_edges": edges, "graph_nodes": lambda s, d: graph.nodes(edges(s, d)), "graph_outdegree": lambda s, d: graph.out_degree(edges(s, d)), "graph_transpose": lambda s, d: graph.transpose(edges(s, d)),
     "graph_pagerank": graph_pagerank, "graph_pagerank_uniform": graph_pagerank_uniform, "graph_pagerank_top": graph_pagerank_top, "graph_pagerank_lines": graph_pagerank_lines,
-    "graph_pagerank_titles": graph_pagerank_titles, "graph_pagerank_converged": graph_pagerank_converged, "graph_hits": graph_hits, "graph_base_set": graph_base_set,
+    "graph_pagerank_titles": graph_pagerank_titles, "graph_pagerank_converged": graph_pagerank_converged,
+    "graph_pagerank_uniform_converged": graph_pagerank_uniform_converged, "graph_pagerank_top_converged": graph_pagerank_top_converged, "graph_pagerank_lines_converged": graph_pagerank_lines_converged,
+    "graph_pagerank_titles_converged": graph_pagerank_titles_converged, "graph_goodness_converged": graph_goodness_converged, "graph_hits": graph_hits, "graph_base_set": graph_base_set,
     "graph_mc1": _walks(1), "graph_mc2": _walks(2), "graph_mc4": _walks(4), "graph_mc5": _walks(5), "graph_goodness": graph_goodness, "graph_goodness_walks": graph_goodness_walks, "src_links": src_links,
     "la_spmv": la_spmv, "la_left_spmv": la_left_spmv, "la_spmm": la_spmm, "la_add": _with_transpose(linalg.add), "la_sub": _with_transpose(linalg.subtract), "la_distance": la_distance,
     "la_normalize_l1": _normalised("l1"), "la_normalize_l2": _normalised("l2"), "la_normalize_vector": la_normalize_vector, "la_scale_sum": la_scale_sum,

@@ -45,6 +45,23 @@ def test_pagerank(edges, monkeypatch, hot):
     assert abs(sum(done.values()) - 1) < 1e-9 and all(abs(done[k] - want[k]) < 1e-7 for k in want)
 
 
+def test_converged_queries(spark, edges, monkeypatch):
+    titles = spark.createDataFrame([(str(k), f"t{k}") for k in range(1, 10)], "node_id string, title string")
+    monkeypatch.setattr(graph_queries, "edges", lambda *_: edges)
+    monkeypatch.setattr(graph_queries, "table", lambda *_: titles)
+    ran, power = {}, graph.pagerank
+    monkeypatch.setattr(graph, "pagerank", lambda e, **how: ran.get(k := str(how)) or ran.setdefault(k, power(e, **how)))
+    want, short = dense(CLEAN, 300), dense(CLEAN, graph_queries.STEPS)
+    run = lambda name: graph_queries.QUERIES[name](spark, "").collect()
+    places = sorted(want, key=lambda k: (-want[k], k))
+    for got in ({r.node: r["rank"] for r in run(f"graph_pagerank_{x}_converged")} for x in ("top", "uniform")):
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    assert {r.place: r.line for r in run("graph_pagerank_lines_converged")} == {i: f"{k}: {want[k]:.5f}" for i, k in enumerate(places, 1)}
+    assert all(abs(r["rank"] - want[int(r.title[1:])]) < 1e-6 for r in run("graph_pagerank_titles_converged"))
+    goodness = sum((want[k] - short[k]) ** 2 for k in want)
+    assert max(abs(want[k] - short[k]) for k in want) > 1e-4 and abs(run("graph_goodness_converged")[0].goodness - goodness) < 1e-7
+
+
 def test_nodes_without_links(spark, edges):
     alone = spark.createDataFrame([(50,), (1,), (None,), (51,)], "node bigint")
     got = {r.node: r["rank"] for r in graph.pagerank(edges, iterations=300, tolerance=1e-10, vertices=alone).collect()}
