@@ -34,23 +34,27 @@ def words(text: str) -> list[str]:
 class ItemWindows:
     """The windows of a block of items: vocabulary, windows as word numbers, their items, and the LSH tables.
 
-    Words of items are numbered from 1; any other word is 0, which equals nothing; behind a window stands the pad.
+    Words of items are numbered from 1; any other word is 0, which equals nothing; behind a window stands the pad. With gaps
+    an item's windows are up to so many words shorter or longer, too, as a document may have words added or left out.
     """
 
-    def __init__(self, items: list[tuple], window: int, max_edits: int, repetitions: int, sampled: int, seed: int):
+    def __init__(self, items: list[tuple], window: int, max_edits: int, repetitions: int, sampled: int, seed: int, gaps: int = 0):
         texts = [(i, words(t)) for i, t in items if t]
         vocabulary = sorted({w for _, ws in texts for w in ws})
         self.number = {w: n for n, w in enumerate(vocabulary, 1)}
-        self.window, self.max_edits, self.steps = window, max_edits, 3 * window
+        self.window, self.width, self.max_edits, self.steps = window, window + gaps, max_edits, 3 * window
+        self.pad = pad = len(vocabulary) + 1
         owners: dict[tuple, set] = {}
         for i, ws in texts:
             ids = [self.number[w] for w in ws]
-            for a in range(len(ids) - window + 1):
-                owners.setdefault(tuple(ids[a : a + window]), set()).add(i)
-        self.windows = np.array(list(owners), dtype=np.int64).reshape(-1, window)
+            for size in range(max(1, window - gaps), self.width + 1) if len(ids) >= window else ():
+                for a in range(len(ids) - size + 1):
+                    owners.setdefault((*ids[a : a + size], *[pad] * (self.width - size)), set()).add(i)
+        self.windows = np.array(list(owners), dtype=np.int64).reshape(-1, self.width)
+        self.sizes = (self.windows != pad).sum(axis=1)
         self.owners = [np.array(sorted(x), dtype=np.int64) for x in owners.values()]
-        pad, draw = len(vocabulary) + 1, np.random.default_rng(seed)
-        self.pad, self.tables = pad, []
+        draw = np.random.default_rng(seed)
+        self.tables = []
         for _ in range(repetitions):
             bits = draw.integers(0, 2, (pad + 1, self.steps), dtype=np.int8)
             at = np.sort(draw.choice(self.steps, sampled, replace=False))
@@ -62,9 +66,9 @@ class ItemWindows:
     def embed(self, windows: np.ndarray, bits: np.ndarray, at: np.ndarray, mix: np.ndarray) -> np.ndarray:
         """The hash of the sampled positions of each window's walk."""
         n = len(windows)
-        padded = np.full((n, self.window + 1), self.pad, dtype=np.int64)
-        padded[:, : self.window] = windows
-        flat, base, pointer, key = padded.ravel(), np.arange(n) * (self.window + 1), np.zeros(n, np.int64), np.zeros(n, np.uint64)
+        padded = np.full((n, self.width + 1), self.pad, dtype=np.int64)
+        padded[:, : windows.shape[1]] = windows
+        flat, base, pointer, key = padded.ravel(), np.arange(n) * (self.width + 1), np.zeros(n, np.int64), np.zeros(n, np.uint64)
         factor = dict(zip(at.tolist(), mix, strict=True))
         for step in range(int(at[-1]) + 1 if len(at) else 0):
             symbol = flat[base + pointer]
@@ -72,7 +76,7 @@ class ItemWindows:
                 key = (key ^ (symbol.astype(np.uint64) * factor[step])) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(29)
             pointer += bits[symbol, step]
-            np.minimum(pointer, self.window, out=pointer)
+            np.minimum(pointer, self.width, out=pointer)
         return key
 
     def candidates(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,21 +95,30 @@ class ItemWindows:
     def matches(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The candidates within max_edits word edits."""
         left, right = self.candidates(windows)
-        near = edit_distance(windows[left], self.windows[right]) <= self.max_edits if self.max_edits else (windows[left] == self.windows[right]).all(axis=1)
+        if not self.max_edits:
+            near = (windows[left] == self.windows[right]).all(axis=1)
+            return left[near], right[near]
+        near = np.zeros(len(left), bool)
+        for size in np.unique(self.sizes[right]):
+            these = np.flatnonzero(self.sizes[right] == size)
+            if size != self.window:
+                a, b = windows[left[these]], self.windows[right[these]]
+                these = these[(a[:, 0] == b[:, 0]) & (a[:, -1] == b[:, size - 1])]
+            near[these] = edit_distance(windows[left[these]], self.windows[right[these], :size]) <= self.max_edits
         return left[near], right[near]
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Edit distances of the rows of a and b; 0 in a equals nothing."""
-    n, w = a.shape
-    row = np.tile(np.arange(w + 1), (n, 1))
+    (n, w), v = a.shape, b.shape[1]
+    row = np.tile(np.arange(v + 1), (n, 1))
     for i in range(w):
         before, row = row, np.empty_like(row)
         row[:, 0] = i + 1
-        for j in range(w):
+        for j in range(v):
             swap = before[:, j] + (a[:, i] != b[:, j])
             row[:, j + 1] = np.minimum(np.minimum(before[:, j + 1], row[:, j]) + 1, swap)
-    return row[:, w]
+    return row[:, v]
 
 
 def _scan(batches: Iterator[pa.RecordBatch], held: ItemWindows) -> Iterator[pa.RecordBatch]:
@@ -137,10 +150,12 @@ def _scan(batches: Iterator[pa.RecordBatch], held: ItemWindows) -> Iterator[pa.R
 
 def leaked_items(
     documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text",
-    window: int = 10, max_edits: int = 0, repetitions: int = 1, sampled: int = 15, seed: int = 11, block_chars: int = BLOCK_CHARS,
+    window: int = 10, max_edits: int = 0, repetitions: int = 1, sampled: int = 15, seed: int = 11, block_chars: int = BLOCK_CHARS, gaps: int = 0,
 ) -> DataFrame:
     """(doc_id, item_id), distinct: the document has window consecutive words within max_edits word edits of window
-    consecutive words of the item.
+    consecutive words of the item. With gaps (at most max_edits) these may be up to so many fewer or more, so that words added
+    to the document or left out count as one edit each; the first and the last words then agree, since a word more at an end
+    is only a shorter window.
 
     With max_edits 0 equal windows take equal walks, so one repetition finds all. With max_edits k the recall grows with
     repetitions and falls with sampled (the positions that must agree). Null and empty texts, and texts shorter than the
@@ -155,7 +170,7 @@ def leaked_items(
     out = None
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).collect()
-        held = spark.sparkContext.broadcast(ItemWindows([(r["i"], r["t"]) for r in part], window, max_edits, repetitions, sampled, seed))
+        held = spark.sparkContext.broadcast(ItemWindows([(r["i"], r["t"]) for r in part], window, max_edits, repetitions, sampled, seed, gaps))
         found = docs.mapInArrow(lambda batches, held=held: _scan(batches, held.value), "doc_id bigint, item_id bigint")
         out = found if out is None else out.unionAll(found)
     return out.distinct()

@@ -99,8 +99,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaks with one changed, left out or added word in ten."""
-    return leaks.leaked_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"), max_edits=1, repetitions=24, sampled=6)
+    """Leaks of ten words of a document with one changed or added, or left out between them."""
+    return leaks.leaked_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"), max_edits=1, repetitions=24, sampled=6, gaps=1)
 
 
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,12 +70,32 @@ def test_near_windows(spark):
     assert len(got) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("kind", ["left out", "added"])
+def test_near_windows_of_other_lengths(spark, kind):
+    """Short fragments, eight words on either side of a word left out or added."""
+    r = random.Random(4)
+    items = [(i, " ".join(f"w{x}" for x in r.choices(range(5000), k=17))) for i in range(150)]
+    docs = []
+    for i, t in items:
+        ws = t.split()
+        ws = ws[:8] + ws[9:] if kind == "left out" else [*ws[:8], "new", *ws[8:16]]
+        docs.append((i, " ".join([*(f"x{x}" for x in range(6)), *ws, *(f"y{x}" for x in range(6))])))
+    got = run(spark, docs, items, max_edits=1, repetitions=24, sampled=6, gaps=1)
+    assert got <= {(i, i) for i, _ in items} and len(got) >= 0.9 * len(items)
+    assert run(spark, docs, items) == set()
+
+
 def test_edit_distance():
     a = np.array([[1, 2, 3, 4], [1, 2, 3, 4], [0, 0, 1, 2]])
     b = np.array([[1, 2, 3, 4], [2, 3, 4, 5], [1, 2, 3, 4]])
     assert edit_distance(a, b).tolist() == [0, 2, 4]
 
 
+def test_edit_distance_of_other_lengths():
+    a, b = np.array([[1, 2, 3, 4], [1, 2, 3, 4], [0, 0, 1, 2]]), np.array([[1, 2, 4], [2, 3, 4], [1, 2, 3]])
+    assert edit_distance(a, b).tolist() == [1, 1, 3] and edit_distance(b, a)[:2].tolist() == [1, 1]
+
+
 def test_equal_windows_take_equal_walks():
     held = ItemWindows([(1, " ".join(WORDS[:20]))], 10, 0, 3, 15, 0)
     left, right = held.candidates(held.windows)
