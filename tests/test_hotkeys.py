@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from siftwell.operators import hotkeys
 from siftwell.operators.hotkeys import exact_quantiles, links_by_source
+from siftwell.plans import records
 
 SHAPE = "edge bigint, src string, dst string, n int"
 
@@ -55,3 +56,13 @@ def test_empty(spark):
     df = spark.createDataFrame([], SHAPE)
     assert links_by_source(df, "edge", F.col("src"), F.col("dst").cast("bigint")).count() == 0
     assert exact_quantiles(df.withColumn("v", F.lit(1)), "src", "v", [0.5]).count() == 0
+
+
+def test_found_sources_come_from_link_lists(spark, monkeypatch):
+    rows = [(i, "1" if i < 60 else str(i), str(i % 7)) for i in range(150)]
+    edges = spark.createDataFrame(rows, "edge_id bigint, src string, dst string")
+    monkeypatch.setattr(records, "table", lambda *_: edges)
+    made, cut = [], records.cut_lineage
+    monkeypatch.setattr(records, "cut_lineage", lambda df: made.append(cut(df)) or made[-1])
+    assert [r.src for r in records.p2_found(spark, "").collect()] == ["1"]
+    assert sorted(r.link for r in made[0].where("src = 1").collect()) == [list(range(7))]
