@@ -95,6 +95,10 @@ def graph_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("node", F.round("hub", 7).alias("hub"), F.round("authority", 7).alias("authority"))
 
 
+def graph_hits_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.hits(edges(spark, sf_dir), iterations=1000, tolerance=1e-5)
+
+
 def graph_base_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base set around the documents that users marked as relevant."""
     info = table(spark, sf_dir, "doc_info").select("doc_id", base_name("name").alias("title"))
@@ -228,7 +232,7 @@ QUERIES = {
     "graph_pagerank": graph_pagerank, "graph_pagerank_uniform": graph_pagerank_uniform, "graph_pagerank_top": graph_pagerank_top, "graph_pagerank_lines": graph_pagerank_lines,
     "graph_pagerank_titles": graph_pagerank_titles, "graph_pagerank_converged": graph_pagerank_converged,
     "graph_pagerank_uniform_converged": graph_pagerank_uniform_converged, "graph_pagerank_top_converged": graph_pagerank_top_converged, "graph_pagerank_lines_converged": graph_pagerank_lines_converged,
-    "graph_pagerank_titles_converged": graph_pagerank_titles_converged, "graph_goodness_converged": graph_goodness_converged, "graph_hits": graph_hits, "graph_base_set": graph_base_set,
+    "graph_pagerank_titles_converged": graph_pagerank_titles_converged, "graph_goodness_converged": graph_goodness_converged, "graph_hits": graph_hits, "graph_hits_converged": graph_hits_converged, "graph_base_set": graph_base_set,
     "graph_mc1": _walks(1), "graph_mc2": _walks(2), "graph_mc4": _walks(4), "graph_mc5": _walks(5), "graph_goodness": graph_goodness, "graph_goodness_walks": graph_goodness_walks, "src_links": src_links,
     "la_spmv": la_spmv, "la_left_spmv": la_left_spmv, "la_spmm": la_spmm, "la_add": _with_transpose(linalg.add), "la_sub": _with_transpose(linalg.subtract), "la_distance": la_distance,
     "la_normalize_l1": _normalised("l1"), "la_normalize_l2": _normalised("l2"), "la_normalize_vector": la_normalize_vector, "la_scale_sum": la_scale_sum,

@@ -107,6 +107,23 @@ def test_base_set_and_hits(spark, edges, monkeypatch, hot):
     assert abs(sum(r.hub**2 for r in whole) - 1) < 1e-9
 
 
+def test_hits_converged(spark, monkeypatch):
+    links = [(1, 2), (1, 3), (2, 3), (2, 4), (3, 4), (4, 1), (5, 4)]
+    monkeypatch.setattr(graph_queries, "edges", lambda *_: spark.createDataFrame(links, "src bigint, dst bigint"))
+    a = np.zeros((5, 5))
+    for x, y in links:
+        a[x - 1, y - 1] = 1
+    unit = lambda v: v / np.linalg.norm(v)
+    h = t = np.ones(5)
+    found = []
+    for _ in range(200):
+        h, t = unit(a @ t), unit(a.T @ h)
+        found.append(np.stack([h, t]))
+    got = graph_queries.QUERIES["graph_hits_converged"](spark, "").orderBy("node").collect()
+    got = np.array([[r.hub for r in got], [r.authority for r in got]])
+    assert abs(found[4] - found[-1]).max() > 1e-3 and abs(got - found[-1]).max() < 1e-4
+
+
 def test_hits_ranking(spark, edges):
     titles = spark.createDataFrame([(1, "a"), (2, "b"), (5, "e"), (5, "e2"), (9, "x")], "node bigint, title string")
     docs = spark.createDataFrame([(10, "a"), (20, "b"), (50, "e2"), (70, "nowhere")], "doc_id bigint, title string")
