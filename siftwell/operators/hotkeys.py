@@ -1,148 +1,153 @@
 """Per-key results when a few keys hold most rows.
 
-The work is cut by exact ranks, not by key. Exact selection finds the value at a rank of a key from histograms alone: each
-round counts the key's values in the bins of the interval that holds the rank, partial counts of all tasks add up, and
-the bin that holds the rank is the next interval, until it holds one value. No task ever holds a hot key's values.
+The work is cut by value, not by key. A key's values lie in cells, intervals that don't overlap. Each round counts a cell's
+values in bins, partial counts of all tasks add up, and the bins are the next, finer cells. Ranks follow from the counts
+alone, so only cells that still matter are refined: those that hold a wanted rank and more than one value (exact
+selection), or those with too many values for one task (ranking). No task ever holds a hot key's values, and cold keys go
+the same way.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from siftwell.operators.skew import checked_broadcast_join
 from siftwell.session import cut_lineage
 
-#: Keys above max(HOT_ROWS, total / HOT_KEYS) rows are hot, hence at most HOT_KEYS keys are.
-HOT_ROWS = 100_000
-HOT_KEYS = 5_000
-#: Bins of a histogram in each round.
+#: Bins of a histogram in each round, beside one for the least and one for the greatest value.
 BINS = 256
+#: Values ranked in one group: at most max(BLOCK_ROWS, total / BLOCKS), so at most BLOCKS cells are ever refined at once.
+BLOCK_ROWS = 1_000
+BLOCKS = 100_000
+
+_CELL = ["key", "cell", "bin"]
 
 
 def _bin(value: Column, lo: Column, hi: Column) -> Column:
-    """0 for the least value, else 1 to BINS in value order; so each round parts at least the least value from the rest."""
+    """0 for the least value, BINS + 1 for the greatest, else 1 to BINS in value order; so each round parts at least two values."""
     gap = lambda a, b: F.coalesce(F.try_subtract(a, b).cast("double"), a.cast("double") - b.cast("double"))
-    part = F.coalesce(F.try_divide(gap(value, lo), gap(hi, lo)), F.lit(0.0))
-    step = F.floor(F.nanvl(part, F.lit(0.0)) * F.lit(float(BINS)))
-    return F.when(value == lo, F.lit(0)).otherwise(F.least(F.greatest(step + 1, F.lit(1)), F.lit(BINS))).cast("int")
+    part = F.nanvl(F.coalesce(F.try_divide(gap(value, lo), gap(hi, lo)), F.lit(0.0)), F.lit(0.0))
+    step = F.least(F.greatest(F.floor(part * F.lit(float(BINS))) + 1, F.lit(1)), F.lit(BINS))
+    return F.when(value == lo, F.lit(0)).when(value == hi, F.lit(BINS + 1)).otherwise(step).cast("int")
+
+
+def _histogram(rows: DataFrame) -> DataFrame:
+    """(key, cell, bin, n, lo, hi): counts that tasks add up before and after the shuffle, and the bin's ends."""
+    return rows.groupBy(*_CELL).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+
+
+def _before(by: list[str]) -> Column:
+    """Values in the bins before this one; a cell has at most BINS + 2 bins."""
+    return F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
-def select_ranks(rows: DataFrame, key: str, value: str, targets: list[tuple], value_type: T.DataType) -> list[tuple]:
-    """The exact values at 1-based ranks of hot keys: [(key, rank, value)] for targets [(key, rank, least, greatest)].
+def exact_selection(rows: DataFrame, ranks: Callable[[Column], Column]) -> DataFrame:
+    """The exact values at 1-based ranks: (key, rank, value, below, n) from rows (key, value) without nulls.
 
-    rows must be cheap to read again (a table or checkpoint). The driver and each task hold one interval for each open
-    rank, whose number the caller has bounded.
+    ranks makes the array of a key's wanted ranks from its number of rows. below counts the key's lesser values, n those equal to
+    the found one. rows must be cheap to read again (a table or checkpoint). The first round's bins are the same for all
+    keys, so it joins nothing; later rounds read the rows of open cells only.
     """
-    spark = rows.sparkSession
-    done = [(k, r, lo) for k, r, lo, hi in targets if lo == hi]
-    open_ = [(k, r, lo, hi, 0) for k, r, lo, hi in targets if lo != hi]
-    key_type = rows.schema[key].dataType
-    while open_:
-        intervals = sorted({(k, lo, hi) for k, _, lo, hi, _ in open_})
-        number = {x: i for i, x in enumerate(intervals)}
-        shape = T.StructType([T.StructField("__key", key_type), T.StructField("lo", value_type), T.StructField("hi", value_type), T.StructField("iid", T.IntegerType())])
-        ivs = F.broadcast(spark.createDataFrame([(*x, i) for x, i in number.items()], shape))
-        inside = (F.col(key) == F.col("__key")) & (F.col(value) >= F.col("lo")) & (F.col(value) <= F.col("hi"))
-        cells = (
-            rows.select(key, value).join(ivs, inside)
-            .groupBy("iid", _bin(F.col(value), F.col("lo"), F.col("hi")).alias("bin"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"))
-        )
-        upto = F.sum("n").over(Window.partitionBy("iid").orderBy("bin"))
-        cells = cells.withColumn("upto", upto)
-        want = spark.createDataFrame([(number[(k, lo, hi)], i, r - below) for i, (k, r, lo, hi, below) in enumerate(open_)], "iid int, tid int, r bigint")
-        found = cells.join(F.broadcast(want), "iid").where((F.col("r") <= F.col("upto")) & (F.col("r") > F.col("upto") - F.col("n")))
-        found = found.select("tid", "least", "most", (F.col("upto") - F.col("n")).alias("below")).collect()
-        following = []
-        for f in found:
-            k, r, _, _, below = open_[f["tid"]]
-            if f["least"] == f["most"]:
-                done.append((k, r, f["least"]))
-            else:
-                following.append((k, r, f["least"], f["most"], below + f["below"]))
-        open_ = following
-    return done
-
-
-def _hot(stats: DataFrame, count: str) -> tuple[list, int]:
-    """The hot keys' rows of stats (at most HOT_KEYS) and the threshold."""
-    total = stats.agg(F.sum(count)).first()[0] or 0
-    limit = max(HOT_ROWS, -(-total // HOT_KEYS))
-    return stats.where(F.col(count) > limit).collect() if total > limit else [], limit
+    ends = rows.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))  # one row
+    rows = rows.join(F.broadcast(ends)).select("key", "value", F.col("lo").alias("cell"), _bin(F.col("value"), F.col("lo"), F.col("hi")).alias("bin"))
+    cells = _histogram(rows).withColumn("below", _before(["key"])).withColumn("ranks", ranks(F.sum("n").over(Window.partitionBy("key"))))
+    found = None
+    while True:
+        inside = F.filter("ranks", lambda r: (r > F.col("below")) & (r <= F.col("below") + F.col("n")))
+        cells = cut_lineage(cells.withColumn("ranks", inside).where(F.size("ranks") > 0).select(*_CELL, "lo", "hi", "n", "below", "ranks"))
+        one = cells.where("lo = hi").select("key", F.explode("ranks").alias("rank"), F.col("lo").alias("value"), "below", "n")
+        found = one if found is None else found.unionAll(one)
+        more = cells.where("lo <> hi")
+        if more.isEmpty():
+            return found
+        narrow = more.select(*_CELL, "lo", "hi")
+        rows = checked_broadcast_join(rows, narrow, _CELL, counts=more.select(*_CELL, "n")).select("key", "value", F.col("lo").alias("cell"), _bin(F.col("value"), F.col("lo"), F.col("hi")).alias("bin"))
+        rows = cut_lineage(rows)
+        parents = more.select("key", F.col("lo").alias("cell"), F.col("below").alias("base"), "ranks")
+        cells = _histogram(rows).withColumn("inner", _before(["key", "cell"])).join(parents, ["key", "cell"]).withColumn("below", F.col("base") + F.col("inner"))
 
 
 def exact_quantiles(df: DataFrame, key: str, value: str, probs: list[float]) -> DataFrame:
     """The exact discrete quantiles of each key: (key, prob, value), value at rank max(1, ceil(prob * n)).
 
-    Rows with a null key or value are left out, repeated rows count each time, ties are ranks of the same value; no rows
-    give no rows. value must be numeric. Keys of at most max(HOT_ROWS, n / HOT_KEYS) rows are ranked by a window; the
-    others, at most HOT_KEYS, by select_ranks.
+    Rows with a null or NaN key or value are left out, repeated rows count each time, ties are ranks of the same value; no rows
+    give no rows. value must be numeric.
     """
-    spark, kind = df.sparkSession, df.schema[value].dataType
     rows = cut_lineage(df.select(F.col(key).alias("key"), F.col(value).alias("value")).dropna())
-    stats = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    hot, _ = _hot(stats, "n")
-    rank = lambda p, n: max(1, math.ceil(p * n))
-    shape = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("prob", T.DoubleType()), T.StructField("value", kind)])
-    few = rows
-    if hot:
-        names = spark.createDataFrame([(h["key"],) for h in hot], T.StructType([T.StructField("key", df.schema[key].dataType)]))
-        few = rows.join(F.broadcast(names), "key", "left_anti")
-        many = rows.join(F.broadcast(names), "key", "left_semi")
-        wanted = sorted({(h["key"], rank(p, h["n"]), h["lo"], h["hi"]) for h in hot for p in probs})
-        values = {(k, r): v for k, r, v in select_ranks(many, "key", "value", wanted, kind)}
-        hot_rows = spark.createDataFrame([(h["key"], float(p), values[(h["key"], rank(p, h["n"]))]) for h in hot for p in probs], shape)
-    each = Window.partitionBy("key")
-    few = few.withColumn("r", F.row_number().over(each.orderBy("value"))).withColumn("n", F.count(F.lit(1)).over(each))
-    at = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("prob"), F.greatest(F.lit(1), F.ceil(F.lit(float(p)) * F.col("n"))).alias("rank")) for p in probs]))
-    few = few.select("key", "value", "r", at.alias("at")).where(F.col("r") == F.col("at.rank")).select("key", F.col("at.prob").alias("prob"), "value")
-    return few.unionByName(hot_rows) if hot else few
-
-
-def ranked_pairs(pairs: DataFrame, key: str, value: str, capacity: int) -> DataFrame:
-    """pairs with their exact piece within the key: columns key, value, block, piece; values of a piece are consecutive
-    and each piece but a key's last has capacity values. (key, value) must be distinct and not null, and pairs cheap to
-    read again. Hot keys are cut into blocks of whole pieces at exact ranks, and every block is ranked by itself."""
-    spark = pairs.sparkSession
-    kind, key_type = pairs.schema[value].dataType, pairs.schema[key].dataType
-    stats = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
-    hot, limit = _hot(stats, "n")
-    size = -(-limit // capacity) * capacity
-    block = F.lit(0)
-    if hot:
-        names = F.broadcast(spark.createDataFrame([(h[key],) for h in hot], T.StructType([T.StructField(key, key_type)])))
-        targets = [(h[key], r, h["lo"], h["hi"]) for h in hot for r in range(size, h["n"], size)]
-        cuts: dict = {}
-        for k, _, v in select_ranks(pairs.join(names, key, "left_semi"), key, value, targets, kind):
-            cuts.setdefault(k, []).append(v)
-        shape = T.StructType([T.StructField(key, key_type), T.StructField("cuts", T.ArrayType(kind))])
-        table = spark.createDataFrame([(k, sorted(v)) for k, v in cuts.items()], shape)
-        pairs = pairs.join(F.broadcast(table), key, "left")
-        block = F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col(value))), F.lit(0))
-        block = F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(block)
-    out = pairs.select(key, value, block.alias("block"))
-    rn = F.row_number().over(Window.partitionBy(key, "block").orderBy(value))
-    return out.withColumn("piece", F.expr(f"block * {size // capacity}L") + F.floor((rn - 1) / F.lit(capacity)))
+    rank = lambda p, n: F.greatest(F.lit(1).cast("bigint"), F.ceil(F.lit(float(p)) * n).cast("bigint"))
+    found = exact_selection(rows, lambda n: F.array_distinct(F.array(*[rank(p, n) for p in probs]))).select("key", "rank", "value")
+    total = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    asked = total.select("key", F.explode(F.array(*[F.struct(F.lit(float(p)).alias("prob"), rank(p, F.col("n")).alias("rank")) for p in probs])).alias("at"))
+    return asked.select("key", F.col("at.prob").alias("prob"), F.col("at.rank").alias("rank")).join(found, ["key", "rank"]).select("key", "prob", "value")
+
+
+def heavy_values(rows: DataFrame, least: int) -> DataFrame:
+    """(value, n): the values that occur at least least times in rows (value), with their exact counts; nulls don't count.
+
+    In value order such a value fills least places in a row or more, so it stands at one of the ranks least, 2 * least, ...; exact
+    selection finds what stands there, and its last cell holds the count. Only histograms are shuffled. rows must be cheap to read again.
+    """
+    if least < 1:
+        raise ValueError("least must be positive")
+    step = F.lit(least).cast("bigint")
+    ranks = lambda n: F.when(n >= least, F.sequence(step, n, step)).otherwise(F.array().cast("array<bigint>"))
+    found = exact_selection(rows.select(F.lit(0).alias("key"), "value").where("value is not null"), ranks)
+    return found.where(F.col("n") >= least).select("value", "n").distinct()
+
+
+def heavy_sources(edges: DataFrame, edge_id: str, src: Column, share: float) -> DataFrame:
+    """(src, out): sources that hold at least share of the distinct edge ids, with their number of edge ids. Edges with a null
+    source count in the whole only, rows that repeat count once, null edge ids never; no edges give no rows."""
+    held = cut_lineage(edges.select(F.col(edge_id).alias("edge"), src.alias("value")).where("edge is not null").distinct())
+    total = held.select("edge").distinct().count()
+    least = max(1, math.ceil(Fraction(str(share)) * total))
+    return heavy_values(held, least).select(F.col("value").alias("src"), F.col("n").alias("out"))
+
+
+def ranked_pairs(pairs: DataFrame, key: str, value: str, capacity: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """pairs with their place within the key: columns key, value, cell, piece; a key's values are numbered in order and piece is
+    that number by capacity. (key, value) must be distinct and not null, and pairs cheap to read again. Keys with more than
+    a block of values are refined into cells of at most a block, each ranked by itself behind the values before it."""
+    rows = pairs.select(F.col(key).alias("key"), F.col(value).alias("value"))
+    block = max(block_rows, -(-rows.count() // BLOCKS))
+    whole = cut_lineage(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).where(F.col("n") > block))
+    nothing = F.lit(None).cast(pairs.schema[value].dataType)
+    if whole.isEmpty():
+        placed = rows.select("key", "value", nothing.alias("cell"), F.lit(0).cast("bigint").alias("below"))
+    else:
+        split = checked_broadcast_join(rows, whole.select("key", "lo", "hi"), ["key"], "left", counts=whole.select("key", "n"))
+        placed = split.where("lo is null").select("key", "value", nothing.alias("cell"), F.lit(0).cast("bigint").alias("below"))
+        rows = split.where("lo is not null").withColumn("below", F.lit(0).cast("bigint"))
+        while True:
+            rows = cut_lineage(rows.select("key", "value", F.col("lo").alias("cell"), _bin(F.col("value"), F.col("lo"), F.col("hi")).alias("bin"), "below"))
+            cells = rows.groupBy(*_CELL).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.min("below").alias("base"))
+            cells = cut_lineage(cells.select(*_CELL, "lo", "hi", "n", (F.col("base") + _before(["key", "cell"])).alias("below")))
+            rows = checked_broadcast_join(rows.drop("below"), cells, _CELL, counts=cells.select(*_CELL, "n"))
+            large = F.col("n") > block
+            placed = placed.unionAll(rows.where(~large).select("key", "value", F.col("lo").alias("cell"), "below"))
+            if cells.where(large).isEmpty():
+                break
+            rows = rows.where(large)
+    number = F.col("below") + F.row_number().over(Window.partitionBy("key", "cell").orderBy("value")) - 1
+    return placed.select(F.col("key").alias(key), F.col("value").alias(value), "cell", F.floor(number / F.lit(capacity)).alias("piece"))
 
 
 def links_by_source(edges: DataFrame, edge_id: str, src: Column, dst: Column, capacity: int = 1000) -> DataFrame:
-    """Each source's number of links and its list of targets, in pieces: (src, out, n_targets, piece, link, share).
+    """Each source's number of links and its list of targets, in pieces: (src, out, n_targets, piece, link).
 
     out: distinct edge ids of the source. link: its distinct targets that are not null, ascending, at most capacity in a
-    row; piece numbers them from 0. share: out over the distinct edge ids of all edges. Edges with a null source count
-    in share only, a source without targets has one row with an empty link; an edge that repeats counts once. No edges
-    give no rows.
+    row; piece numbers them from 0. Edges with a null source are left out, a source without targets has one row with an
+    empty link; an edge that repeats counts once. No edges give no rows.
     """
-    links = edges.select(F.col(edge_id).alias("edge"), src.alias("src"), dst.alias("dst")).distinct()
+    links = edges.select(F.col(edge_id).alias("edge"), src.alias("src"), dst.alias("dst")).where("src is not null").distinct()
     pairs = cut_lineage(links.groupBy("src", "dst").agg(F.count("edge").alias("edges")))
-    total = F.broadcast(pairs.agg(F.sum("edges").alias("total")))  # one row
-    pairs = pairs.where(F.col("src").isNotNull())
     outs = pairs.groupBy("src").agg(F.sum("edges").alias("out"), F.count("dst").alias("n_targets"))
-    outs = outs.join(total).withColumn("share", F.try_divide(F.col("out"), F.col("total"))).drop("total")
     pieces = ranked_pairs(pairs.where(F.col("dst").isNotNull()).select("src", "dst"), "src", "dst", capacity)
-    pieces = pieces.groupBy("src", "block", "piece").agg(F.sort_array(F.collect_list("dst")).alias("link")).drop("block")
+    pieces = pieces.groupBy("src", "piece").agg(F.sort_array(F.collect_list("dst")).alias("link"))
     out = outs.join(pieces, "src", "left")
-    return out.select("src", "out", "n_targets", F.coalesce("piece", F.lit(0)).cast("bigint").alias("piece"), F.coalesce("link", F.array().cast(f"array<{pairs.schema['dst'].dataType.simpleString()}>")).alias("link"), "share")
+    return out.select("src", "out", "n_targets", F.coalesce("piece", F.lit(0)).cast("bigint").alias("piece"), F.coalesce("link", F.array().cast(f"array<{pairs.schema['dst'].dataType.simpleString()}>")).alias("link"))

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.operators.hotkeys import exact_quantiles, links_by_source
+from siftwell.operators.hotkeys import exact_quantiles, heavy_sources, links_by_source
 from siftwell.operators.orphans import Parents, References, orphan_references, orphan_report
-from siftwell.session import cut_lineage
 
 #: Targets in one row of a link list.
 LINK_CAPACITY = 1000
@@ -53,8 +52,8 @@ def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources of 1 % of the links or more, from link lists that are made whole; a plan for sources alone would drop them."""
-    return cut_lineage(_links(spark, sf_dir)).where(F.col("share") >= HOT_SHARE).select(F.col("src").cast("string").alias("src")).distinct()
+    """Sources of 1 % of the links or more, by exact selection over all links in the order of their sources."""
+    return heavy_sources(table(spark, sf_dir, "link_edges"), "edge_id", node_id("src"), HOT_SHARE).select(F.col("src").cast("string").alias("src"))
 
 
 def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
