@@ -94,13 +94,38 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), CAPACITY, VOCABULARY, PATTERN)
 
 
-def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaks of one edit in ten words at most, of which those without an edit are asked for."""
+    return _leaks(spark, sf_dir).where("edits = 0").select("doc_id", "item_id")
+
+
 def p8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaks of ten words of a document with one changed or added, or left out between them."""
-    return leaks.leaked_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"), max_edits=1, repetitions=24, sampled=6, gaps=1)
+    return _leaks(spark, sf_dir)
+
+
+def p8_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments of every item with 17 words or more, planted among other words with one word changed, left out or added: (kind,
+    planted, reached), reached if at least 0.9 of a kind are found with an edit."""
+    items = _table(spark, sf_dir, "eval_items")
+    w = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    part = lambda a, n: F.slice("w", a, n)
+    kinds = {
+        "changed": [part(1, 4), F.array(F.lit("qqqq")), part(6, 5)],
+        "left out": [part(1, 8), part(10, 8)],
+        "added": [part(1, 8), F.array(F.lit("qqqq")), part(9, 8)],
+    }
+    around = [F.array(*[F.lit(f"{side}{i}") for i in range(6)]) for side in ("vor", "nach")]
+    rows = items.select("item_id", w.alias("w")).where(F.size("w") >= 17)
+    cases = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(i).alias("at"), F.array_join(F.concat(around[0], *pieces, around[1]), " ").alias("text")) for i, (k, pieces) in enumerate(kinds.items())]))
+    planted = rows.select("item_id", cases.alias("c")).select((F.col("item_id") * len(kinds) + F.col("c.at")).alias("doc_id"), F.col("item_id").alias("of"), "c.kind", "c.text")
+    found = leaks.leaked_items(planted, items).where("edits > 0 AND item_id = doc_id div 3").select("doc_id")
+    counts = planted.join(found.withColumn("hit", F.lit(1)), "doc_id", "left").groupBy("kind").agg(F.count(F.lit(1)).alias("planted"), F.count("hit").alias("hits"))
+    return counts.select("kind", "planted", (F.col("hits") >= 0.9 * F.col("planted")).alias("reached"))
 
 
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,7 +203,7 @@ _WINDOWS = "SELECT {i} AS id, array_to_string(w[p : p + 9], ' ') AS words FROM (
 QUERIES = {
     "p3_found": p3_found, "p3_scores": p3_scores, "p4_found": p4_found, "p4_frequencies": p4_frequencies, "p4_containers": p4_containers,
     "p5_found": p5_found, "p5_lines": p5_lines, "p5_passages": p5_passages, "p6_found": p6_found, "p6_ranking": p6_ranking,
-    "p7_containers": p7_containers, "p8_found": p8_found, "p8_near": p8_near, "p9_found": p9_found, "p9_passages": p9_passages, "p9_documents": p9_documents,
+    "p7_containers": p7_containers, "p8_found": p8_found, "p8_near": p8_near, "p8_recall": p8_recall, "p9_found": p9_found, "p9_passages": p9_passages, "p9_documents": p9_documents,
 }
 
 SQL = {
@@ -191,4 +216,5 @@ SQL = {
     "p6_found": _RANKING + " SELECT query_id, doc_id FROM ranked WHERE position <= 10",
     "p6_ranking": _RANKING + " SELECT query_id, doc_id, round(rho, 9) AS rho, round(mean_place, 9) AS mean_place FROM ranked",
     "p8_found": f"WITH d AS ({_WINDOWS.format(i='doc_id', look=_sql_look('text'), t='documents')}), i AS ({_WINDOWS.format(i='item_id', look=_sql_look('text'), t='eval_items')}) SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM d JOIN i USING (words)",
+    "p8_recall": "SELECT kind, count(*) AS planted, true AS reached FROM eval_items, (VALUES ('changed'), ('left out'), ('added')) AS k(kind) WHERE len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) >= 17 GROUP BY kind",
 }

@@ -3,7 +3,9 @@ import random
 import numpy as np
 import pytest
 
-from siftwell.llm.leaks import ItemWindows, edit_distance, leaked_items, words
+from siftwell.llm import leaks
+from siftwell.llm.leaks import Filter, Walks, edit_distance, leaked_items, words
+from siftwell.operators import skew
 
 WORDS = [f"{a}{b}" for a in ["bar", "tun", "lösk", "gam"] for b in ["n", "mel", "ort", "a", "er", "ell"]]
 
@@ -52,21 +54,29 @@ def brute(docs, items, window, edits):
 
 def run(spark, docs, items, **how):
     d = spark.createDataFrame([(i, t, 0, "clash") for i, t in docs], "doc_id bigint, text string, item_id int, words string")
-    return {tuple(r) for r in leaked_items(d, spark.createDataFrame(items, "item_id bigint, text string"), **how).collect()}
+    found = leaked_items(d, spark.createDataFrame([(*i, 0) for i in items], "item_id bigint, text string, edits int"), **how).collect()
+    assert len(found) == len({r[:2] for r in found})
+    return {tuple(r) for r in found}
 
 
-@pytest.mark.parametrize("block", [50_000_000, 500])
-def test_whole_windows(spark, block):
+@pytest.mark.parametrize("bound", [500_000, 0])
+def test_whole_windows(spark, monkeypatch, bound):
+    monkeypatch.setattr(skew.checked_broadcast_join, "__defaults__", ("inner", bound, None))
+    monkeypatch.setattr(skew, "HOT_ROWS", 20)
     docs, items = corpus()
     want = brute(docs, items, 10, 0)
-    assert len(want) > 10 and run(spark, docs, items, block_chars=block) == want
+    assert len(want) > 10
+    assert {r[:2] for r in run(spark, docs, items) if r[2] == 0} == want
+    assert {r[:2] for r in run(spark, docs, items, max_edits=0, gaps=0, repetitions=1)} == want
 
 
-def test_near_windows(spark):
+@pytest.mark.parametrize("slots", [1 << 21, 1 << 4])
+def test_near_windows(spark, monkeypatch, slots):
+    monkeypatch.setattr(leaks, "MOST_SLOTS", slots)  # a filter that is full keeps nothing back
     docs, items = corpus(2)
     want, exact = brute(docs[:-6], items, 10, 1), brute(docs[:-6], items, 10, 0)
-    got = run(spark, docs[:-6], items, max_edits=1, repetitions=24, sampled=6)
-    assert got <= want and exact <= got and len(want) > len(exact) + 5
+    got = run(spark, docs[:-6], items, gaps=0)
+    assert {r[:2] for r in got} <= want and exact == {r[:2] for r in got if r[2] == 0} and len(want) > len(exact) + 5
     assert len(got) >= 0.9 * len(want)
 
 
@@ -80,9 +90,16 @@ def test_near_windows_of_other_lengths(spark, kind):
         ws = t.split()
         ws = ws[:8] + ws[9:] if kind == "left out" else [*ws[:8], "new", *ws[8:16]]
         docs.append((i, " ".join([*(f"x{x}" for x in range(6)), *ws, *(f"y{x}" for x in range(6))])))
-    got = run(spark, docs, items, max_edits=1, repetitions=24, sampled=6, gaps=1)
-    assert got <= {(i, i) for i, _ in items} and len(got) >= 0.9 * len(items)
-    assert run(spark, docs, items) == set()
+    got = run(spark, docs, items)
+    assert got <= {(i, i, 1) for i, _ in items} and len(got) >= 0.9 * len(items)
+    assert run(spark, docs, items, max_edits=0, gaps=0) == set()
+
+
+def test_filter(spark):
+    r = np.random.default_rng(1)
+    held, other = (r.integers(-(2**63), 2**63, 5000) for _ in range(2))
+    f = Filter.of(spark.createDataFrame([(int(x),) for x in held], "h bigint"))
+    assert f.has(held.view(np.uint64)).all() and f.has(other.view(np.uint64)).mean() < 0.01
 
 
 def test_edit_distance():
@@ -96,10 +113,21 @@ def test_edit_distance_of_other_lengths():
     assert edit_distance(a, b).tolist() == [1, 1, 3] and edit_distance(b, a)[:2].tolist() == [1, 1]
 
 
-def test_equal_windows_take_equal_walks():
-    held = ItemWindows([(1, " ".join(WORDS[:20]))], 10, 0, 3, 15, 0)
-    left, right = held.candidates(held.windows)
-    assert {(i, i) for i in range(len(held.windows))} <= set(zip(left.tolist(), right.tolist(), strict=True))
+@pytest.mark.parametrize("window", [10, 30])
+def test_walks(window):
+    """Equal windows take equal walks whatever their words' numbers; few edits leave some walk alike, other windows none."""
+    r = np.random.default_rng(2)
+    walks = Walks(window, 1, 24, 6, 11)
+    hashes = np.concatenate([np.array([0, 1], np.uint64), r.integers(2, 2**63, 500, dtype=np.uint64)])
+    a = r.integers(2, 502, (200, window))
+    order = np.concatenate([[0, 1], 2 + r.permutation(500)])
+    other = np.empty_like(hashes)
+    other[order] = hashes
+    assert (walks.keys(a, hashes) == walks.keys(order[a], other)).all()
+    b = a.copy()
+    b[:, window // 2] = 0
+    alike = (walks.keys(a, hashes) == walks.keys(b, hashes)).any(axis=0)
+    assert alike.mean() >= 0.9 and (walks.keys(a, hashes) == walks.keys(a[::-1], hashes)).mean() < 0.01
 
 
 def test_empty(spark):
