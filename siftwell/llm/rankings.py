@@ -13,12 +13,12 @@ from math import comb
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.operators.hotkeys import HOT_KEYS
 from siftwell.operators.skew import checked_broadcast_join
 from siftwell.session import cut_lineage
 
-#: Groups above max(HOT_ROWS, total / HOT_KEYS) items are ranked in parts.
+#: Groups above max(HOT_ROWS, total / HOT_KEYS) items are ranked in parts, hence at most HOT_KEYS groups are.
 HOT_ROWS = 200_000
+HOT_KEYS = 5_000
 #: Parts of a hot group, and the accuracy of the value limits that make them (not of the ranks, which are exact).
 PARTS = 64
 ACCURACY = 2_000
