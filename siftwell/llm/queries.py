@@ -63,6 +63,11 @@ def p5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusables.unify(_table(spark, sf_dir, "tokenizer_lines"), ["line_id"], "text").select("line_id", "canonical")
 
 
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with a look-alike, their class and number of links, without the pairs."""
+    return confusables.look_alike_links(_table(spark, sf_dir, "tokenizer_lines"), "line_id", "text")
+
+
 def p5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     lines = docs.select("doc_id", F.posexplode(F.split("text", r"\r?\n")).alias("passage", "text")).where(F.length("text") > 0)
@@ -155,7 +160,24 @@ def _sql_look(column: str) -> str:
     out = f"translate({column}, {_sql_text(''.join(pairs))}, {_sql_text(''.join(pairs.values()))})"
     for a, b in confusables.joined().items():
         out = f"replace({out}, {_sql_text(a)}, {_sql_text(b)})"
-    return f"nfc_normalize(regexp_replace({out}, '[{confusables.ZERO_WIDTH}]', '', 'g'))"
+    return f"nfc_normalize(regexp_replace({out}, '{_SQL_NO_EXTENT}', '', 'g'))"
+
+
+_SQL_NO_EXTENT = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in confusables._NO_EXTENT) + "]"
+_SQL_FORM = "replace(replace(regexp_replace(regexp_replace(regexp_replace(text, '[^\\p{Latin}\\p{Cyrillic}\\p{Greek}]', '.', 'g'), '\\p{Latin}', '1', 'g'), '[^.1]', '2', 'g'), 'x', ''), 'y', '')"
+
+
+def _sql_unified(rows: str, keys: str) -> str:
+    """keys and canonical of rows (keys, text)."""
+    odd_letters = _sql_text("".join(c for c in confusables.odd_signs() if c not in confusables.ZERO_WIDTH))
+    return f"""
+WITH rows AS (SELECT * FROM ({rows})),
+spelt AS (SELECT text, {_sql_look('text')} AS look, {_SQL_FORM} AS form FROM (SELECT DISTINCT text FROM rows WHERE text IS NOT NULL)),
+weighed AS (SELECT text, look, (len(form) - len(replace(form, '12', ''))) // 2 + (len(form) - len(replace(form, '21', ''))) // 2
+  + len(text) - len(translate(regexp_replace(text, '{_SQL_NO_EXTENT}', '', 'g'), {odd_letters}, '')) + len(regexp_extract_all(text, '\\p{{M}}')) AS odd,
+  len(regexp_extract_all(text, '[\\p{{Cyrillic}}\\p{{Greek}}]')) AS foreign_ FROM spelt),
+best AS (SELECT look, arg_min(text, (odd, foreign_, text)) AS canonical FROM weighed GROUP BY look)
+SELECT {keys}, canonical FROM rows LEFT JOIN (SELECT text, canonical FROM weighed JOIN best USING (look)) USING (text)"""
 
 
 _VALID = """
@@ -202,7 +224,7 @@ _WINDOWS = "SELECT {i} AS id, array_to_string(w[p : p + 9], ' ') AS words FROM (
 
 QUERIES = {
     "p3_found": p3_found, "p3_scores": p3_scores, "p4_found": p4_found, "p4_frequencies": p4_frequencies, "p4_containers": p4_containers,
-    "p5_found": p5_found, "p5_lines": p5_lines, "p5_passages": p5_passages, "p6_found": p6_found, "p6_ranking": p6_ranking,
+    "p5_found": p5_found, "p5_lines": p5_lines, "p5_classes": p5_classes, "p5_passages": p5_passages, "p6_found": p6_found, "p6_ranking": p6_ranking,
     "p7_containers": p7_containers, "p8_found": p8_found, "p8_near": p8_near, "p8_recall": p8_recall, "p9_found": p9_found, "p9_passages": p9_passages, "p9_documents": p9_documents,
 }
 
@@ -213,6 +235,11 @@ SQL = {
     "p4_frequencies": _FREQUENCIES + " SELECT token, occurrences, records, mark FROM marked",
     "p4_containers": _VALID + " SELECT token, doc_id // 65536 AS container, count(DISTINCT doc_id // 64) AS words, count(*) AS records, CAST(sum(tf) AS BIGINT) AS occurrences FROM valid GROUP BY token, doc_id // 65536",
     "p5_found": f"WITH m AS (SELECT line_id, text, {_sql_look('text')} AS look FROM tokenizer_lines) SELECT DISTINCT a.line_id AS line_a, b.line_id AS line_b FROM m a JOIN m b ON a.look = b.look AND a.line_id < b.line_id AND a.text <> b.text",
+    "p5_classes": f"""WITH m AS (SELECT line_id, text, {_sql_look('text')} AS look FROM tokenizer_lines WHERE text IS NOT NULL),
+n AS (SELECT *, count(*) OVER (PARTITION BY look) - count(*) OVER (PARTITION BY look, text) AS links FROM m), c AS ({_sql_unified("SELECT line_id, text FROM tokenizer_lines", "line_id")})
+SELECT line_id, md5(canonical) AS class_id, links FROM n JOIN c USING (line_id) WHERE links > 0""",
+    "p5_lines": _sql_unified("SELECT line_id, text FROM tokenizer_lines", "line_id"),
+    "p5_passages": _sql_unified("SELECT doc_id, passage, text FROM (SELECT doc_id, unnest(w) AS text, CAST(unnest(range(len(w))) AS INTEGER) AS passage FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS w FROM documents)) WHERE len(text) > 0", "doc_id, passage"),
     "p6_found": _RANKING + " SELECT query_id, doc_id FROM ranked WHERE position <= 10",
     "p6_ranking": _RANKING + " SELECT query_id, doc_id, round(rho, 9) AS rho, round(mean_place, 9) AS mean_place FROM ranked",
     "p8_found": f"WITH d AS ({_WINDOWS.format(i='doc_id', look=_sql_look('text'), t='documents')}), i AS ({_WINDOWS.format(i='item_id', look=_sql_look('text'), t='eval_items')}) SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM d JOIN i USING (words)",
