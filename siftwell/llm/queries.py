@@ -37,8 +37,13 @@ def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.col("record").alias("doc_id"), F.col("term").alias("token"), "tf", "df", "cf", F.round("ridf", 6).alias("ridf"), F.round("residual", 6).alias("residual"), F.round("score", 6).alias("score"))
 
 
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.valid_rows(*(_table(spark, sf_dir, t) for t in ("postings", "token_index", "doc_info")))
+
+
 def _frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms.term_frequencies(terms.term_bitmaps(_postings(spark, sf_dir))).withColumnRenamed("term", "token")
+    rows = _rows(spark, sf_dir)
+    return terms.term_frequencies(terms.term_containers(rows), terms.record_count(rows)).withColumnRenamed("term", "token")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,8 +55,11 @@ def p4_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = terms.bitmap_containers(terms.term_bitmaps(_postings(spark, sf_dir)))
-    return held.select(F.col("term").alias("token"), "container", F.size("words").cast("bigint").alias("words"), "records", "occurrences")
+    held = terms.term_containers(_rows(spark, sf_dir))
+    numbers = F.concat(F.coalesce(F.col("offsets").cast("array<int>"), F.array()), F.flatten(F.coalesce(F.transform("runs", lambda r: F.sequence(r["first"].cast("int"), r["last"].cast("int"))), F.array())))
+    size = F.coalesce(2 * F.size("offsets"), 4 * F.size("runs"), 8 * F.size("words"))
+    checksum = F.when(F.col("words").isNull(), F.aggregate(numbers, F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("checksum")
+    return held.select(F.col("term").alias("token"), "container", "kind", size.cast("bigint").alias("bytes"), "records", "occurrences", checksum)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +199,7 @@ _SCORES = (
     + """,
 stats AS (SELECT token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM valid GROUP BY token),
 ridf AS (SELECT token, df, cf, log2(n / df) + log2(1 - exp(-cf / n)) AS ridf, greatest(n / df - 1 / (1 - exp(-cf / n)), 0) AS residual FROM stats, size),
-scores AS (SELECT v.doc_id, v.token, v.tf, r.df, r.cf, r.ridf, r.residual, v.tf * log2(1 + r.residual) AS score FROM valid v JOIN ridf r USING (token)
+scores AS (SELECT v.doc_id, v.token, v.tf, r.df, r.cf, r.ridf, r.residual, v.tf * r.residual AS score FROM valid v JOIN ridf r USING (token)
   WHERE v.doc_id IN (SELECT doc_id FROM feedback_docs))"""
 )
 
@@ -233,7 +241,10 @@ SQL = {
     "p3_scores": _SCORES + " SELECT doc_id, token, tf, df, cf, round(ridf, 6) AS ridf, round(residual, 6) AS residual, round(score, 6) AS score FROM scores",
     "p4_found": _FREQUENCIES + " SELECT token, mark FROM marked WHERE mark <> 'useful'",
     "p4_frequencies": _FREQUENCIES + " SELECT token, occurrences, records, mark FROM marked",
-    "p4_containers": _VALID + " SELECT token, doc_id // 65536 AS container, count(DISTINCT doc_id // 64) AS words, count(*) AS records, CAST(sum(tf) AS BIGINT) AS occurrences FROM valid GROUP BY token, doc_id // 65536",
+    "p4_containers": _VALID
+    + """, runs AS (SELECT token, doc_id // 4096 AS container, doc_id % 4096 AS o, tf, doc_id % 4096 <> 1 + coalesce(lag(doc_id % 4096) OVER (PARTITION BY token, doc_id // 4096 ORDER BY doc_id), -9) AS opens FROM valid),
+held AS (SELECT token, container, count(*) AS records, CAST(sum(tf) AS BIGINT) AS occurrences, 2 * count(*) AS a, 4 * count(*) FILTER (WHERE opens) AS r, CAST(sum(o) AS BIGINT) AS s FROM runs GROUP BY token, container)
+SELECT token, container, CASE WHEN a <= r AND a <= 512 THEN 'array' WHEN r <= 512 THEN 'run' ELSE 'bitmap' END AS kind, least(a, r, 512) AS bytes, records, occurrences, CASE WHEN least(a, r) <= 512 THEN s END AS checksum FROM held""",
     "p5_found": f"WITH m AS (SELECT line_id, text, {_sql_look('text')} AS look FROM tokenizer_lines) SELECT DISTINCT a.line_id AS line_a, b.line_id AS line_b FROM m a JOIN m b ON a.look = b.look AND a.line_id < b.line_id AND a.text <> b.text",
     "p5_classes": f"""WITH m AS (SELECT line_id, text, {_sql_look('text')} AS look FROM tokenizer_lines WHERE text IS NOT NULL),
 n AS (SELECT *, count(*) OVER (PARTITION BY look) - count(*) OVER (PARTITION BY look, text) AS links FROM m), c AS ({_sql_unified("SELECT line_id, text FROM tokenizer_lines", "line_id")})

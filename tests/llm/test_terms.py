@@ -27,32 +27,42 @@ def tables(spark, seed=0):
 
 @pytest.mark.parametrize("bound", [500_000, 0])
 def test_valid_postings(spark, monkeypatch, bound):
-    monkeypatch.setattr(skew.checked_broadcast_join, "__defaults__", ("inner", bound))
+    monkeypatch.setattr(skew.checked_broadcast_join, "__defaults__", ("inner", bound, None))
     *t, want = tables(spark)
     assert {(r.token, r.doc_id): r.tf for r in terms.valid_postings(*t).collect()} == want
 
 
+def members(h):
+    """The record ids of a container in any form."""
+    held = list(h.offsets or []) + [x for r in h.runs or [] for x in range(r["first"], r["last"] + 1)] + [w * 64 + b for w, word in enumerate(h.words or []) for b in range(64) if word >> b & 1]
+    assert (h.offsets is None) + (h.runs is None) + (h.words is None) == 2 and {"array": h.offsets, "run": h.runs, "bitmap": h.words}[h.kind] is not None
+    assert len(held) == len(set(held)) == h.records
+    return {h.container * terms.CONTAINER + x for x in held}
+
+
 def test_frequencies(spark):
     *t, want = tables(spark)
-    bitmaps = terms.term_bitmaps(terms.valid_postings(*t)).cache()
+    rows = terms.valid_rows(*t)
+    containers = terms.term_containers(rows).cache()
     n = len({d for _, d in want})
-    got = {r.term: r for r in terms.term_frequencies(bitmaps).collect()}
+    assert terms.record_count(rows).first().total == n
+    got = {r.term: r for r in terms.term_frequencies(containers, terms.record_count(rows)).collect()}
     assert got.keys() == {k for k, _ in want}
     for k, r in got.items():
         mine = [v for (x, _), v in want.items() if x == k]
         assert (r.occurrences, r.records) == (sum(mine), len(mine))
         assert r.mark == ("rare" if len(mine) == 1 else "common" if len(mine) > 0.6 * n else "useful")
-    held = terms.bitmap_containers(bitmaps).collect()
-    docs = {(h.term, w.word_no * 64 + b) for h in held for w in h.words for b in range(64) if w.word >> b & 1}
-    assert docs == set(want)
+    assert {(h.term, d) for h in containers.collect() for d in members(h)} == set(want)
 
 
-def test_bitmaps_of_any_id(spark):
-    ids = [-1, -64, -65, 0, 63, 64, 2**40]
-    df = spark.createDataFrame([("a", i, 2) for i in ids] + [("a", None, 1), (None, 1, 1), ("a", 0, None)], "token string, doc_id bigint, tf int")
-    got = terms.term_bitmaps(df).collect()
-    assert sorted(r.word_no * 64 + b for r in got for b in range(64) if (r.word & (2**64 - 1)) >> b & 1) == sorted(ids)
-    assert sum(r.occurrences for r in got) == 2 * len(ids)
+def test_containers_of_any_form_and_id(spark):
+    r = random.Random(5)
+    ids = {"few": [-65, -64, -1, 0, 63, 64, 2**40], "dense": sorted(r.sample(range(4096, 8192), 2500)), "all": list(range(3000, 9000)), "none": []}
+    df = spark.createDataFrame([(t, i, 2) for t, x in ids.items() for i in x] + [("few", None, 1), (None, 1, 1), ("few", 0, None)], "token string, doc_id bigint, tf int")
+    got = terms.term_containers(df.repartition(5)).collect()
+    assert {t: sorted(d for h in got if h.term == t for d in members(h)) for t in ids} == ids
+    assert {(h.term, h.kind) for h in got} == {("few", "array"), ("dense", "bitmap"), ("all", "run")}
+    assert sum(h.occurrences for h in got) == 2 * sum(map(len, ids.values()))
 
 
 def test_distinctiveness(spark):
@@ -67,7 +77,7 @@ def test_distinctiveness(spark):
         ridf = math.log2(n / len(mine)) + math.log2(1 - math.exp(-sum(mine) / n))
         residual = max(0.0, n / len(mine) - 1 / (1 - math.exp(-sum(mine) / n)))
         assert (r.df, r.cf) == (len(mine), sum(mine)) and abs(r.ridf - ridf) < 1e-9
-        assert abs(r.residual - residual) < 1e-9 and abs(r.score - r.tf * math.log2(1 + residual)) < 1e-9
+        assert abs(r.residual - residual) < 1e-9 and abs(r.score - r.tf * residual) < 1e-9
     best = {r.record: r.term for r in terms.most_distinctive(terms.distinctiveness(terms.valid_postings(*t), asked)).collect()}
     assert best == {d: min((r for r in got if r.record == d), key=lambda r: (-r.score, r.term)).term for d in (3, 9)}
 
@@ -75,7 +85,7 @@ def test_distinctiveness(spark):
 def test_empty(spark):
     p, n, d, _ = tables(spark)
     none = terms.valid_postings(p.limit(0), n, d)
-    assert none.count() == terms.term_frequencies(terms.term_bitmaps(none)).count() == terms.distinctiveness(none).count() == 0
+    assert none.count() == terms.term_frequencies(terms.term_containers(none), terms.record_count(none)).count() == terms.distinctiveness(none).count() == 0
     assert terms.valid_postings(p, n.limit(0), d).count() == 0
 
 
@@ -85,3 +95,13 @@ def test_several_languages(spark):
     df = spark.createDataFrame([(w, d, tf) for d, w, tf in rows], "token string, doc_id bigint, tf int")
     best = {r.record: r.term for r in terms.most_distinctive(terms.distinctiveness(df)).collect()}
     assert best[3] == "thoville" and best[7] == "of"
+
+
+def test_concentrated_terms(spark):
+    """Of two terms in as many records and as often in this one, that which comes in bursts is the more distinctive."""
+    rows = [(d, "filler", 1) for d in range(200)] + [(d, "even", 3 if d == 0 else 1) for d in range(20)] + [(d, "bursty", 3 if d == 0 else 30) for d in range(20)]
+    df = spark.createDataFrame([(w, d, tf) for d, w, tf in rows], "token string, doc_id bigint, tf int")
+    got = {r.term: r for r in terms.distinctiveness(df).where("record = 0").collect()}
+    assert (got["even"].df, got["even"].tf) == (got["bursty"].df, got["bursty"].tf)
+    assert got["bursty"].score > 2 * got["even"].score and got["bursty"].ridf > got["even"].ridf and got["filler"].score == 0
+    assert [r.term for r in terms.most_distinctive(terms.distinctiveness(df)).where("record = 0").collect()] == ["bursty"]
