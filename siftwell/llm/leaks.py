@@ -2,8 +2,9 @@
 
 Items and documents become sequences of words; windows of as many words as make a leak slide over both. The CGK walk
 embeds a window so that few word edits become few differing positions: it reads the window with one pointer, writes the
-word under the pointer at each of 3 * window steps, and a random bit of that word decides whether the pointer moves. The
-hash of some sampled positions of one walk is a key, and windows are embedded in several walks. Keys of both sides are
+word under the pointer at each step, and a random bit of that word decides whether the pointer moves. The hash of some
+sampled positions among a walk's first 2 * window is a key (later ones mostly read the pad behind the window), and windows
+are embedded in several walks. Keys of both sides are
 DataFrames and meet in a join; the exact edit distance of the words decides over each pair of windows that met.
 
 Words are 64-bit hashes, so no side needs the other's vocabulary. Two Bloom filters of bounded size, of the items' words and of
@@ -99,7 +100,7 @@ class Walks:
         n, width = len(windows), self.window + self.gaps
         padded = np.full((n, width + 1), _PAD, dtype=np.int64)
         padded[:, : windows.shape[1]] = windows
-        flat, base, steps = padded.ravel(), np.arange(n) * (width + 1), 3 * self.window
+        flat, base, steps = padded.ravel(), np.arange(n) * (width + 1), 2 * self.window
         draw = np.random.default_rng(self.seed)
         out = np.zeros((self.repetitions, n), np.uint64)
         for r in range(self.repetitions):
@@ -218,7 +219,7 @@ def _verified(batches: Iterator[pa.RecordBatch], walks: Walks) -> Iterator[pa.Re
 
 def leaked_items(
     documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text",
-    window: int = 10, max_edits: int = 1, repetitions: int = 24, sampled: int = 6, seed: int = 11, gaps: int = 1,
+    window: int = 10, max_edits: int = 1, repetitions: int = 16, sampled: int = 10, seed: int = 11, gaps: int = 1,
 ) -> DataFrame:
     """(doc_id, item_id, edits), a row for each pair: the document has window consecutive words within max_edits word edits of
     window consecutive words of the item; edits is the least number. With gaps (at most max_edits) the item's may be up to

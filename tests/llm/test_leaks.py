@@ -117,7 +117,7 @@ def test_edit_distance_of_other_lengths():
 def test_walks(window):
     """Equal windows take equal walks whatever their words' numbers; few edits leave some walk alike, other windows none."""
     r = np.random.default_rng(2)
-    walks = Walks(window, 1, 24, 6, 11)
+    walks = Walks(window, 1, 16, 10, 11)
     hashes = np.concatenate([np.array([0, 1], np.uint64), r.integers(2, 2**63, 500, dtype=np.uint64)])
     a = r.integers(2, 502, (200, window))
     order = np.concatenate([[0, 1], 2 + r.permutation(500)])
