@@ -46,3 +46,27 @@ def checked_broadcast_join(big: DataFrame, small: DataFrame, on: list[str], how:
     spread = big.join(hot, on, "left").withColumn("__salt", F.pmod(mix, salts).cast("int")).drop("__salts")
     copies = small.join(hot, on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1))).drop("__salts")
     return spread.join(copies, [*on, "__salt"], how).drop("__salt")
+
+
+def product_join(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """Inner join on one column of which both sides have many rows: a key makes as many rows as both sides' product. Keys that make
+    more than their share are spread over salts: the side with more rows of the key is dealt out, the other repeated. There are at
+    most 4 * partitions such keys."""
+    if is_small(right):
+        return left.join(F.broadcast(right), on)
+    spark, width = left.sparkSession, shuffle_width(left.sparkSession)
+    counts = left.groupBy(on).agg(F.count(F.lit(1)).alias("nl")).join(right.groupBy(on).agg(F.count(F.lit(1)).alias("nr")), on)
+    counts = counts.withColumn("p", F.col("nl").cast("double") * F.col("nr"))
+    limit = max(float(HOT_ROWS), (counts.agg(F.sum("p")).first()[0] or 0.0) / (4 * width))
+    found = counts.where(F.col("p") > limit).select(on, F.ceil(F.col("p") / F.lit(limit)).cast("int").alias("__salts"), (F.col("nl") >= F.col("nr")).alias("__deal_left")).collect()
+    if not found:
+        return left.join(right, on)
+    hot = F.broadcast(spark.createDataFrame(found, T.StructType([T.StructField(on, left.schema[on].dataType), T.StructField("__salts", T.IntegerType()), T.StructField("__deal_left", T.BooleanType())])))
+
+    def salted(side: DataFrame, dealt: bool) -> DataFrame:
+        one = F.array(F.pmod(F.xxhash64(*side.columns, F.spark_partition_id()), F.col("__salts")).cast("int"))
+        every = F.sequence(F.lit(0), F.col("__salts") - 1)
+        salts = F.when(F.col("__salts").isNull(), F.array(F.lit(0))).when(F.col("__deal_left") == dealt, one).otherwise(every)
+        return side.join(hot, on, "left").withColumn("__salt", F.explode(salts)).drop("__salts", "__deal_left")
+
+    return salted(left, True).join(salted(right, False), [on, "__salt"]).drop("__salt")

@@ -1,17 +1,16 @@
 """Monte-Carlo PageRank: ranks estimated from random walks.
 
-A graph of at most LOCAL_LINKS links is written to the shared folder once; every task reads it from there and walks its share
-of the walks to their ends, so there is one pass and one aggregation of visits. Larger graphs go step by step, with the
-frontier as a DataFrame. Walkers on the same node are alike, so the frontier is (node, walkers), never larger than the graph. A step gives each
-walker a link by number, and walkers and links meet on (node, link number), a key that stays even where a node has most
-links or most walkers. Draws are hashes of seed, step, node and walker, so a task that runs again draws the same.
+Every draw is a hash of seed, step and walk, so the walks are the same however they are carried out, and those of a smaller number
+are the first of a greater. A graph of at most local_links links is written to the shared folder once; every worker reads it
+from there and takes its walks to their ends, so there is one pass and one aggregation of visits. Larger graphs go step by
+step with the walks as a DataFrame, which meets the links on (node, link number).
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +23,17 @@ from pyspark.sql import functions as F
 from siftwell.operators.graph import BORED, nodes, out_degree
 from siftwell.operators.hotkeys import ranked_pairs
 from siftwell.operators.index import dense_ids
-from siftwell.session import checkpoint_dir, cut_lineage, ship_package
+from siftwell.operators.skew import checked_broadcast_join
+from siftwell.session import cut_lineage, scratch_dir, ship_package
 
-#: Links of a graph that each task may hold (8 bytes each), and walks of a task at once.
+#: Links of a graph that each worker may hold (8 bytes each), and walks of a task at once. Results don't depend on either.
 LOCAL_LINKS = 5_000_000
 LOCAL_WALKS = 100_000
-#: Walkers of one node that a task draws for at once; larger crowds are split.
-CROWD = 50_000
-MOST_STEPS = 400
+#: Steps whose visits are added up at once.
+MERGED = 16
+
+# The primes of the public hash xxHash64.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
 @dataclass(frozen=True)
@@ -46,17 +48,28 @@ class Method:
 METHODS = {1: Method(False, False), 2: Method(True, False), 4: Method(True, True), 5: Method(False, True)}
 
 
-def _uniform(*parts: Column) -> Column:
+def _uniform(seed: int, step: int, walk: Column) -> Column:
+    """In [0, 1), by seed, step and walk."""
+    parts = (F.lit(seed).cast("bigint"), F.lit(step).cast("bigint"), walk.cast("bigint"))
     return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / F.lit(float(1 << 53))
 
 
-def _walkers(frontier: DataFrame) -> DataFrame:
-    """A row for each walker: frontier's columns and walker. Crowds are spread over tasks first."""
-    chunks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("walkers") - 1) / F.lit(CROWD))))
-    split = frontier.where("walkers > 0").withColumn("__chunk", chunks)
-    first = F.col("__chunk") * CROWD
-    last = F.least(first + CROWD, F.col("walkers")) - 1
-    return split.repartition("node", "__chunk").withColumn("walker", F.explode(F.sequence(first, last))).drop("__chunk", "walkers")
+def _hash_of(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """xxHash64 of one 64-bit number, as the SQL function computes it."""
+    turn = lambda v, by: (v << np.uint64(by)) | (v >> np.uint64(64 - by))
+    h = (seed + _P5 + np.uint64(8)) ^ (turn(x * _P2, 31) * _P1)
+    h = turn(h, 27) * _P1 + _P4
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
+def uniform(seed: int, step: int, walks: np.ndarray) -> np.ndarray:
+    """_uniform for arrays."""
+    h = np.array([42], np.uint64)
+    for part in (seed, step):
+        h = _hash_of(np.array([part], np.int64).view(np.uint64), h)
+    return (_hash_of(walks.view(np.uint64), h) >> np.uint64(11)) / float(1 << 53)
 
 
 def _load(path: str) -> pa.Table:
@@ -66,7 +79,7 @@ def _load(path: str) -> pa.Table:
 
 @dataclass(frozen=True)
 class Graph:
-    """names of the nodes in order; the links of node i are ends[first[i] : first[i + 1]]."""
+    """names of the nodes in order; the links of node i are ends[first[i] : first[i + 1]], in order."""
 
     names: pa.Array
     first: np.ndarray
@@ -74,123 +87,137 @@ class Graph:
 
     @classmethod
     def read(cls, path: str) -> Graph:
-        table, names = _load(f"{path}/edges"), _load(f"{path}/nodes")["node"].combine_chunks()
+        edges, more = _load(f"{path}/edges"), _load(f"{path}/nodes")
+        names = pc.unique(pa.chunked_array([c for t, k in ((edges, "src"), (edges, "dst"), (more, "node")) for c in t[k].chunks], edges["src"].type))
         names = names.take(pc.array_sort_indices(names))
-        src, dst = (pc.index_in(table[c], names).to_numpy() for c in ("src", "dst"))
+        src, dst = (pc.index_in(edges[c], names).to_numpy() for c in ("src", "dst"))
         order = np.lexsort((dst, src))
         return cls(names, np.searchsorted(src[order], np.arange(len(names) + 1)), dst[order])
 
-    def _follow(self, at: np.ndarray, draw: np.random.Generator) -> np.ndarray:
-        first = self.first[at]
-        return self.ends[first + (draw.random(len(at)) * (self.first[at + 1] - first)).astype(np.int64)]
-
-    def visits(self, at: np.ndarray, how: Method, bored: float, draw: np.random.Generator) -> np.ndarray:
-        """The nodes that count for walks that begin at the given nodes."""
-        n, seen = len(self.names), []
-        while len(at):
-            goes = draw.random(len(at)) >= bored
-            seen.append(at if how.path else at[~goes])
-            at = at[goes]
-            dangling = self.first[at + 1] == self.first[at]
-            following = self._follow(at[~dangling], draw)
-            at = following if how.path else np.concatenate([following, draw.integers(0, n, dangling.sum())])
-        return np.concatenate(seen) if seen else np.zeros(0, np.int64)
-
-
-def _walk_local(edges: DataFrame, walks: int, n: int, how: Method, bored: float, seed: int, path: str) -> DataFrame:
-    """(node, n) from tasks that hold the whole graph."""
+    def visits(self, walks: np.ndarray, how: Method, bored: float, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(walks, nodes) of the visits that count, step by step."""
+        n, step = len(self.names), 0
+        at = walks % n if how.cyclic else (uniform(seed, -1, walks) * n).astype(np.int64)
+        while len(walks):
+            goes = uniform(seed, 2 * step, walks) >= bored
+            yield (walks, at) if how.path else (walks[~goes], at[~goes])
+            out = self.first[at + 1] - self.first[at]
+            if how.path:
+                goes &= out > 0
+            walks, at, out = walks[goes], at[goes], out[goes]
+            draw = uniform(seed, 2 * step + 1, walks)
+            link = np.minimum(self.first[at] + (draw * out).astype(np.int64), max(0, len(self.ends) - 1))
+            at = np.where(out > 0, self.ends[link] if len(self.ends) else 0, (draw * n).astype(np.int64))
+            step += 1
+
+
+@lru_cache(maxsize=1)
+def _graph(path: str) -> Graph:
+    """Workers run several tasks one after the other; the last graph stays."""
+    return Graph.read(path)
+
+
+def _walk_local(edges: DataFrame, more: DataFrame, numbers: list[int], how: Method, bored: float, seed: int) -> DataFrame:
+    """(part, node, n) from tasks that hold the whole graph; nodes never visited have a row of 0."""
     spark = edges.sparkSession
     ship_package(spark)
-    total = walks // n * n if how.cyclic else walks
-    chunks = max(1, -(-total // LOCAL_WALKS))
+    path = scratch_dir(spark)
+    edges.write.parquet(f"{path}/edges")
+    more.write.parquet(f"{path}/nodes")
+    chunks = max(1, -(-numbers[-1] // LOCAL_WALKS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = None
         for batch in batches:
             for chunk in batch.column(0).to_pylist():
-                graph = graph or Graph.read(path)
-                draw, begin, end = np.random.default_rng([seed, chunk]), chunk * LOCAL_WALKS, min(total, (chunk + 1) * LOCAL_WALKS)
-                at = np.arange(begin, end) % n if how.cyclic else draw.integers(0, n, max(0, end - begin))
-                counts = np.bincount(graph.visits(at, how, bored, draw), minlength=n)
+                graph, limits = _graph(path), np.array(numbers)
+                n = len(graph.names)
+                counts = np.zeros(len(numbers) * n, np.int64)
+                for walks, at in graph.visits(np.arange(chunk * LOCAL_WALKS, min(numbers[-1], (chunk + 1) * LOCAL_WALKS)), how, bored, seed):
+                    counts += np.bincount(np.searchsorted(limits, walks, "right") * n + at, minlength=len(counts))
                 found = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays([graph.names.take(pa.array(found)), pa.array(counts[found])], ["node", "n"])
+                if not chunk:
+                    found = np.union1d(found, np.arange(n))
+                columns = [pa.array((found // n).astype(np.int32)), graph.names.take(pa.array(found % n)), pa.array(counts[found])]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "node", "n"])
 
     kind = edges.schema["src"].dataType.simpleString()
     width = min(chunks, 4 * spark.sparkContext.defaultParallelism)
-    return spark.range(0, chunks, 1, width).mapInArrow(run, f"node {kind}, n bigint").groupBy("node").agg(F.sum("n").alias("n"))
-
-
-def _share(edges: DataFrame, graph: DataFrame) -> str | None:
-    """Writes links and nodes to the shared folder; None if this Python can't read them there."""
-    path = f"{checkpoint_dir(edges.sparkSession)}/siftwell-{uuid.uuid4().hex}"
-    edges.write.parquet(f"{path}/edges")
-    graph.write.parquet(f"{path}/nodes")
-    try:
-        _load(f"{path}/nodes")
-    except Exception:  # noqa: BLE001
-        return None
-    return path
-
-
-def monte_carlo(edges: DataFrame, walks: int, method: int, bored: float = BORED, seed: int = 1, local_links: int = LOCAL_LINKS, vertices: DataFrame | None = None) -> DataFrame:
-    """(node, rank): visits of each node over all visits, 0 for nodes never visited; no nodes give no rows. vertices
-    (node) adds nodes without links.
-
-    With a cyclic start each node begins walks // nodes walks, at least one. Methods: see METHODS. Equal arguments give equal walks.
+    return spark.range(0, chunks, 1, width).mapInArrow(run, f"part int, node {kind}, n bigint").groupBy("part", "node").agg(F.sum("n").alias("n"))
+
+
+def _walk_steps(edges: DataFrame, graph: DataFrame, numbers: list[int], n: int, how: Method, bored: float, seed: int) -> DataFrame:
+    """(part, node, n) step by step."""
+    numbered = cut_lineage(dense_ids(graph, "node", "at").join(out_degree(edges, graph), "node"))
+    named = lambda end, to: numbered.select(F.col("node").alias(end), F.col("at").alias(to))
+    pairs = checked_broadcast_join(checked_broadcast_join(edges, named("src", "s"), ["src"]), named("dst", "d"), ["dst"]).select("s", "d")
+    ranked = ranked_pairs(cut_lineage(pairs), "s", "d", 1).select(F.col("s").alias("at"), F.col("piece").alias("link"), F.col("d").alias("to"))
+    links = cut_lineage(checked_broadcast_join(ranked, numbered.select(F.col("at").alias("to"), F.col("out").alias("to_out")), ["to"]))
+    part = sum(((F.col("walk") >= x).cast("int") for x in numbers), F.lit(0))
+    walks = edges.sparkSession.range(numbers[-1]).select(F.col("id").alias("walk"))
+    start = F.col("walk") % n if how.cyclic else F.floor(_uniform(seed, -1, F.col("walk")) * n)
+    frontier = cut_lineage(walks.withColumn("at", start).join(numbered.select("at", "out"), "at").select("walk", "at", "out"))
+    seen, fresh, step = None, [], 0
+    while not frontier.isEmpty():
+        goes = _uniform(seed, 2 * step, F.col("walk")) >= bored
+        draw = _uniform(seed, 2 * step + 1, F.col("walk"))
+        fresh.append((frontier if how.path else frontier.where(~goes)).select(part.alias("part"), "at"))
+        moving = frontier.where(goes & (F.col("out") > 0)).select("walk", "at", F.floor(draw * F.col("out")).alias("link"))
+        following = checked_broadcast_join(moving, links, ["at", "link"]).select("walk", F.col("to").alias("at"), F.col("to_out").alias("out"))
+        if not how.path:
+            lost = frontier.where(goes & (F.col("out") == 0)).select("walk", F.floor(draw * n).alias("at"))
+            following = following.unionAll(lost.join(numbered.select("at", "out"), "at").select("walk", "at", "out"))
+        frontier, step = cut_lineage(following), step + 1
+        if len(fresh) == MERGED:
+            seen, fresh = cut_lineage(_added(seen, fresh)), []
+    counts = _added(seen, fresh).join(numbered.select("at", "node"), "at").select("part", "node", "n")
+    return counts.unionAll(numbered.select(F.lit(0), "node", F.lit(0).cast("bigint"))).groupBy("part", "node").agg(F.sum("n").alias("n"))
+
+
+def _added(seen: DataFrame | None, fresh: list[DataFrame]) -> DataFrame:
+    """(part, at, n): seen and the visits of some more steps."""
+    parts = [f.withColumn("n", F.lit(1).cast("bigint")) for f in fresh] + ([seen] if seen is not None else [])
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionAll(p)
+    return whole.groupBy("part", "at").agg(F.sum("n").alias("n"))
+
+
+def walk_series(edges: DataFrame, numbers: list[int] | Callable[[int], list[int]], method: int, bored: float = BORED, seed: int = 1, local_links: int = LOCAL_LINKS, vertices: DataFrame | None = None) -> DataFrame:
+    """(walks, node, rank) for each number of walks, from the walks of the greatest: visits of each node over all visits, 0 for nodes
+    never visited; no nodes give no rows. vertices (node) adds nodes without links. numbers may be a function of the number
+    of nodes. With a cyclic start each node begins as many walks, number // nodes, at least one. Methods: see METHODS.
+
+    Equal arguments give equal walks; local_links decides how they are carried out, not what comes out.
     """
+    if not 0 < bored <= 1:
+        raise ValueError("a surfer who is never bored walks for ever")
     how = METHODS[method]
     edges = cut_lineage(edges.select("src", "dst"))
-    graph = cut_lineage(nodes(edges, vertices))
+    graph = nodes(edges, vertices)
     n = graph.count()
+    numbers = sorted(set(numbers(n) if callable(numbers) else numbers))
     if not n:
-        return graph.select("node", F.lit(0.0).alias("rank"))
-    if how.cyclic and walks < n:
-        raise ValueError(f"{walks} walks can't begin at each of {n} nodes")
+        return graph.select(F.lit(0).cast("bigint").alias("walks"), "node", F.lit(0.0).alias("rank"))
+    if how.cyclic and numbers[0] < n:
+        raise ValueError(f"{numbers[0]} walks can't begin at each of {n} nodes")
+    ends = [x // n * n if how.cyclic else x for x in numbers]
+    more = (vertices.select("node") if vertices is not None else graph.where("false")).select(F.col("node").cast(edges.schema["src"].dataType)).dropna()
     small = n <= local_links and edges.limit(local_links + 1).count() <= local_links
-    path = _share(edges, graph) if small else None
-    seen = _walk_local(edges, walks, n, how, bored, seed, path) if path else _walk_steps(edges, graph, walks, n, how, bored, seed)
-    seen = cut_lineage(seen)
-    total = F.broadcast(seen.agg(F.sum("n").alias("total")))  # one row
-    return graph.join(seen, "node", "left").join(total).select("node", F.coalesce(F.try_divide(F.col("n"), F.col("total")), F.lit(0.0)).alias("rank"))
-
-
-def _walk_steps(edges: DataFrame, graph: DataFrame, walks: int, n: int, how: Method, bored: float, seed: int) -> DataFrame:
-    """(node, n) step by step."""
-    pairs = ranked_pairs(edges.select("src", "dst"), "src", "dst", 1)
-    links = cut_lineage(pairs.select(F.col("src").alias("node"), F.col("piece").alias("link"), "dst"))
-    numbered = cut_lineage(dense_ids(graph, "node", "number").join(out_degree(edges, graph), "node"))
-    if how.cyclic:
-        frontier = numbered.select("node", F.lit(walks // n).cast("bigint").alias("walkers"))
-    else:
-        spark = edges.sparkSession
-        draws = spark.range(walks).select(F.floor(_uniform(F.lit(seed), F.lit(-1), F.col("id")) * n).alias("number"))
-        frontier = draws.groupBy("number").agg(F.count(F.lit(1)).alias("walkers")).join(numbered, "number").select("node", "walkers")
-    frontier = cut_lineage(frontier)
-    visits = []
-    for step in range(MOST_STEPS):
-        if how.path:
-            visits.append(frontier)
-        there = _walkers(frontier.join(numbered.select("node", "out"), "node"))
-        goes = _uniform(F.lit(seed), F.lit(2 * step), F.col("node"), F.col("walker")) >= bored
-        draw = _uniform(F.lit(seed), F.lit(2 * step + 1), F.col("node"), F.col("walker"))
-        there = there.withColumn("goes", goes)
-        if how.path:
-            there = there.withColumn("goes", F.col("goes") & (F.col("out") > 0))
-        else:
-            visits.append(there.where(~F.col("goes")).groupBy("node").agg(F.count(F.lit(1)).alias("walkers")))
-        moving = there.where("goes")
-        crowd = moving.where("out > 0").groupBy("node", F.floor(draw * F.col("out")).alias("link")).agg(F.count(F.lit(1)).alias("walkers"))
-        following = crowd.join(links, ["node", "link"]).select(F.col("dst").alias("node"), "walkers")
-        if not how.path:
-            lost = moving.where("out = 0").groupBy(F.floor(draw * n).alias("number")).agg(F.count(F.lit(1)).alias("walkers"))
-            following = following.unionAll(lost.join(numbered, "number").select("node", "walkers"))
-        frontier = cut_lineage(following.groupBy("node").agg(F.sum("walkers").alias("walkers")))
-        if frontier.isEmpty():
-            break
-    seen = visits[0]
-    for v in visits[1:]:
-        seen = seen.unionByName(v)
-    return seen.groupBy("node").agg(F.sum("walkers").alias("n"))
+    seen = cut_lineage(_walk_local(edges, more, ends, how, bored, seed) if small else _walk_steps(edges, cut_lineage(graph), ends, n, how, bored, seed))
+    if len(numbers) == 1:
+        total = seen.agg(F.sum("n")).first()[0]
+        return seen.select(F.lit(numbers[0]).cast("bigint").alias("walks"), "node", (F.col("n") / F.lit(float(max(1, total)))).alias("rank"))
+    at = F.explode(F.array(*[F.struct(F.lit(i).alias("upto"), F.lit(x).cast("bigint").alias("walks")) for i, x in enumerate(numbers)])).alias("at")
+    counts = seen.select("part", "node", "n", at).select("at.walks", "node", F.when(F.col("part") <= F.col("at.upto"), F.col("n")).otherwise(0).alias("n"))
+    counts = counts.groupBy("walks", "node").agg(F.sum("n").alias("n"))
+    totals = F.broadcast(counts.groupBy("walks").agg(F.sum("n").alias("total")))  # a row for each number
+    return counts.join(totals, "walks").select("walks", "node", F.coalesce(F.try_divide(F.col("n"), F.col("total")), F.lit(0.0)).alias("rank"))
+
+
+def monte_carlo(edges: DataFrame, walks: int | Callable[[int], int], method: int, bored: float = BORED, seed: int = 1, local_links: int = LOCAL_LINKS, vertices: DataFrame | None = None) -> DataFrame:
+    """(node, rank): walk_series for one number of walks, or a function of the number of nodes."""
+    numbers = (lambda n: [walks(n)]) if callable(walks) else [walks]
+    return walk_series(edges, numbers, method, bored, seed, local_links, vertices).select("node", "rank")
 
 
 def enough(n_nodes: int, least: int, per_node: int) -> int:
@@ -199,6 +226,14 @@ def enough(n_nodes: int, least: int, per_node: int) -> int:
 
 
 def sweep(n_nodes: int) -> list[int]:
-    """The numbers of walks to compare methods at: one to ten times each power of ten from the number of nodes' to two above."""
+    """The numbers of walks to compare methods at: one to ten times each power of ten from the number of nodes' to two above; those
+    below the number of nodes, which a cyclic method can't take, are left out."""
     least = len(str(max(1, n_nodes))) - 1
-    return [k * 10**m for m in range(least, least + 3) for k in range(1, 11)]
+    return sorted({x for m in range(least, least + 3) for k in range(1, 11) if (x := k * 10**m) >= n_nodes})
+
+
+def sweep_goodness(reference: DataFrame, edges: DataFrame, method: int, numbers: Callable[[int], list[int]] = sweep, k: int = 30, **how) -> DataFrame:
+    """(walks, goodness) of a method for each number of walks, over the reference's (node, rank) k greatest ranks."""
+    best = reference.orderBy(F.desc("rank"), "node").limit(k).select("node", F.col("rank").alias("want"))
+    found = walk_series(edges, numbers, method, **how).join(F.broadcast(best), "node")  # k rows
+    return found.groupBy("walks").agg(F.sum(F.pow(F.col("want") - F.col("rank"), 2)).alias("goodness"))

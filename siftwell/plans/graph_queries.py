@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.operators import evaluate, graph, linalg, walks
 from siftwell.operators.hotkeys import links_by_source
 from siftwell.plans.records import base_name, node_id, table
-from siftwell.session import checkpoint_dir, cut_lineage
+from siftwell.session import cut_lineage, scratch_dir
 from siftwell.sources.files import read_links, top_lines
 
-#: Power iteration where SQL unrolls it; short of convergence.
-STEPS = 8
+#: Power iteration and HITS end once a step changes so little, within so many steps; their SQL unrolls some and stops by the same rule.
+RANK_CHANGE, SCORE_CHANGE, MOST_STEPS = 1e-7, 1e-5, 1000
+SQL_STEPS = 40
 #: Random walks: as many from each node, at least so many together and of each node.
 WALKS = 1_000_000
 WALKS_PER_NODE = 20
 CUTOFFS = [10, 20, 30, 40, 50]
 ASSUMED_RELEVANT = 100
+#: Squared differences between ranks by walks and by power iteration, far above what chance makes at WALKS walks.
+WALKS_APART = 1e-4
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,22 +37,25 @@ def degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.out_degree(edges(spark, sf_dir)).select(F.col("node").alias("i"), F.col("out").cast("double").alias("v"))
 
 
+def _pagerank(e: DataFrame, start: str = "first") -> DataFrame:
+    return graph.pagerank(e, iterations=MOST_STEPS, tolerance=RANK_CHANGE, start=start)
+
+
 def graph_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.pagerank(edges(spark, sf_dir), iterations=STEPS).select("node", F.round("rank", 9).alias("rank"))
+    return _pagerank(edges(spark, sf_dir)).select("node", F.round("rank", 9).alias("rank"))
 
 
 def graph_pagerank_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.pagerank(edges(spark, sf_dir), iterations=STEPS, start="uniform").select("node", F.round("rank", 9).alias("rank"))
+    return _pagerank(edges(spark, sf_dir), "uniform").select("node", F.round("rank", 9).alias("rank"))
 
 
 def graph_pagerank_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = graph.top(graph.pagerank(edges(spark, sf_dir), iterations=STEPS), "rank", 30)
-    return best.select("node", F.round("rank", 9).alias("rank"))
+    return graph.top(_pagerank(edges(spark, sf_dir)), "rank", 30).select("node", F.round("rank", 9).alias("rank"))
 
 
 def graph_pagerank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The thirty best nodes as they are shown."""
-    return top_lines(graph.pagerank(edges(spark, sf_dir), iterations=STEPS), "node", "rank")
+    return top_lines(_pagerank(edges(spark, sf_dir)), "node", "rank")
 
 
 def _titled(spark: SparkSession, sf_dir: str, ranks: DataFrame) -> DataFrame:
@@ -61,42 +65,20 @@ def _titled(spark: SparkSession, sf_dir: str, ranks: DataFrame) -> DataFrame:
 
 def graph_pagerank_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page ranks under the nodes' titles."""
-    found = _titled(spark, sf_dir, graph.pagerank(edges(spark, sf_dir), iterations=STEPS))
-    return found.select("title", F.round("rank", 9).alias("rank"))
-
-
-def graph_pagerank_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.pagerank(edges(spark, sf_dir), iterations=100, tolerance=1e-6)
-
-
-def _converged(e: DataFrame, start: str = "first") -> DataFrame:
-    """Ranks at the reference's tolerance and most steps."""
-    return graph.pagerank(e, iterations=1000, tolerance=1e-7, start=start)
-
-
-def graph_pagerank_uniform_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _converged(edges(spark, sf_dir), "uniform")
-
-
-def graph_pagerank_top_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.top(_converged(edges(spark, sf_dir)), "rank", 30)
-
-
-def graph_pagerank_lines_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_lines(_converged(edges(spark, sf_dir)), "node", "rank")
+    return _titled(spark, sf_dir, _pagerank(edges(spark, sf_dir))).select("title", F.round("rank", 9).alias("rank"))
 
 
-def graph_pagerank_titles_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _titled(spark, sf_dir, _converged(edges(spark, sf_dir)))
+def _scores(scores: DataFrame) -> DataFrame:
+    return scores.select("node", F.round("hub", 7).alias("hub"), F.round("authority", 7).alias("authority"))
 
 
 def graph_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = graph.hits(edges(spark, sf_dir), iterations=5)
-    return scores.select("node", F.round("hub", 7).alias("hub"), F.round("authority", 7).alias("authority"))
+    return _scores(graph.hits(edges(spark, sf_dir), iterations=MOST_STEPS, tolerance=SCORE_CHANGE))
 
 
-def graph_hits_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.hits(edges(spark, sf_dir), iterations=1000, tolerance=1e-5)
+def graph_hits_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five steps, as many as a search takes."""
+    return _scores(graph.hits(edges(spark, sf_dir), iterations=5))
 
 
 def graph_base_set(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,39 +89,39 @@ def graph_base_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.base_set(edges(spark, sf_dir), marked.join(info, "doc_id").join(titles, "title").select("node"))
 
 
-def _enough_walks(e: DataFrame) -> int:
-    return walks.enough(graph.nodes(e).count(), WALKS, WALKS_PER_NODE)
+def _enough(n_nodes: int) -> int:
+    return walks.enough(n_nodes, WALKS, WALKS_PER_NODE)
 
 
 def _walks(method: int):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        e = cut_lineage(edges(spark, sf_dir))
-        return walks.monte_carlo(e, _enough_walks(e), method)
+    return lambda spark, sf_dir: walks.monte_carlo(edges(spark, sf_dir), _enough, method)
 
-    return run
 
-
-def graph_goodness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far a rank of few steps is from one of more, over the latter's thirty best."""
-    e = edges(spark, sf_dir)
-    found = graph.goodness(graph.pagerank(e, iterations=STEPS), graph.pagerank(e, iterations=2))
-    return found.select(F.round("goodness", 9).alias("goodness"))
+def graph_walks_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds for the ranks of each kind of random walk: (method, nodes, total, near), near if the squared differences from power
+    iteration over all nodes add up to WALKS_APART at most."""
+    e = cut_lineage(edges(spark, sf_dir))
+    reference, out = _pagerank(e).withColumnRenamed("rank", "want"), None
+    for m in walks.METHODS:
+        both = walks.monte_carlo(e, _enough, m).join(reference, "node")
+        near = (F.sum(F.pow(F.col("rank") - F.col("want"), 2)) <= WALKS_APART).alias("near")
+        one = both.agg(F.count(F.lit(1)).alias("nodes"), F.round(F.sum("rank"), 6).alias("total"), near).select(F.lit(m).alias("method"), "nodes", "total", "near")
+        out = one if out is None else out.unionAll(one)
+    return out
 
 
-def graph_goodness_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far a rank of few steps is from the converged one, over the latter's thirty best."""
+def graph_goodness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far a rank of two steps is from the converged one, over the latter's thirty best."""
     e = cut_lineage(edges(spark, sf_dir))
-    return graph.goodness(_converged(e), graph.pagerank(e, iterations=STEPS))
+    return graph.goodness(_pagerank(e), graph.pagerank(e, iterations=2)).select(F.round("goodness", 9).alias("goodness"))
 
 
 def graph_goodness_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The goodness of each kind of random walk against power iteration."""
+    """The goodness of each kind of random walk against power iteration, over the sweep of numbers of walks: (method, walks, goodness)."""
     e = cut_lineage(edges(spark, sf_dir))
-    reference = _converged(e)
-    number = _enough_walks(e)
-    out = None
-    for m in (1, 2, 4, 5):
-        one = graph.goodness(reference, walks.monte_carlo(e, number, m)).select(F.lit(m).alias("method"), F.lit(number).alias("walks"), "goodness")
+    reference, out = cut_lineage(_pagerank(e)), None
+    for m in walks.METHODS:
+        one = walks.sweep_goodness(reference, e, m).select(F.lit(m).alias("method"), "walks", "goodness")
         out = one if out is None else out.unionAll(one)
     return out
 
@@ -148,7 +130,7 @@ def src_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The graph written as lines 'node;out,out,' and read again; a node with many links has several lines."""
     e = edges(spark, sf_dir).select(F.monotonically_increasing_id().alias("id"), "src", "dst")
     lines = links_by_source(e, "id", F.col("src"), F.col("dst")).select(F.concat(F.col("src").cast("string"), F.lit(";"), F.array_join(F.col("link").cast("array<string>"), ","), F.lit(",")).alias("value"))
-    path = f"{checkpoint_dir(spark)}/siftwell-{uuid.uuid4().hex}"
+    path = scratch_dir(spark)
     lines.write.text(path)
     return read_links(spark, path)[0]
 
@@ -195,11 +177,11 @@ def la_scale_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linalg.total(linalg.scale(matrix(spark, sf_dir), 0.5))
 
 
-def _similar(spark: SparkSession, sf_dir: str, f) -> DataFrame:
+def _similar(spark: SparkSession, sf_dir: str, unit: bool) -> DataFrame:
     """Every vector whose id is divisible by 20, a stated query set, against all vectors."""
-    all_ = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    asked = F.broadcast(all_.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q")))
-    return all_.join(asked).select("query", "vec_id", F.round(f(F.col("q"), F.col("embedding")), 5).alias("v"))
+    vectors = table(spark, sf_dir, "embeddings")
+    found = linalg.vector_products(vectors.where("vec_id % 20 = 0"), vectors, "vec_id", "embedding", unit)
+    return found.select("query", "vec_id", F.round("v", 5).alias("v"))
 
 
 def _run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -230,13 +212,12 @@ def eval_set_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "graph_edges": edges, "graph_nodes": lambda s, d: graph.nodes(edges(s, d)), "graph_outdegree": lambda s, d: graph.out_degree(edges(s, d)), "graph_transpose": lambda s, d: graph.transpose(edges(s, d)),
     "graph_pagerank": graph_pagerank, "graph_pagerank_uniform": graph_pagerank_uniform, "graph_pagerank_top": graph_pagerank_top, "graph_pagerank_lines": graph_pagerank_lines,
-    "graph_pagerank_titles": graph_pagerank_titles, "graph_pagerank_converged": graph_pagerank_converged,
-    "graph_pagerank_uniform_converged": graph_pagerank_uniform_converged, "graph_pagerank_top_converged": graph_pagerank_top_converged, "graph_pagerank_lines_converged": graph_pagerank_lines_converged,
-    "graph_pagerank_titles_converged": graph_pagerank_titles_converged, "graph_goodness_converged": graph_goodness_converged, "graph_hits": graph_hits, "graph_hits_converged": graph_hits_converged, "graph_base_set": graph_base_set,
-    "graph_mc1": _walks(1), "graph_mc2": _walks(2), "graph_mc4": _walks(4), "graph_mc5": _walks(5), "graph_goodness": graph_goodness, "graph_goodness_walks": graph_goodness_walks, "src_links": src_links,
+    "graph_pagerank_titles": graph_pagerank_titles, "graph_hits": graph_hits, "graph_hits_steps": graph_hits_steps, "graph_base_set": graph_base_set,
+    "graph_mc1": _walks(1), "graph_mc2": _walks(2), "graph_mc4": _walks(4), "graph_mc5": _walks(5), "graph_walks_near": graph_walks_near,
+    "graph_goodness": graph_goodness, "graph_goodness_walks": graph_goodness_walks, "src_links": src_links,
     "la_spmv": la_spmv, "la_left_spmv": la_left_spmv, "la_spmm": la_spmm, "la_add": _with_transpose(linalg.add), "la_sub": _with_transpose(linalg.subtract), "la_distance": la_distance,
     "la_normalize_l1": _normalised("l1"), "la_normalize_l2": _normalised("l2"), "la_normalize_vector": la_normalize_vector, "la_scale_sum": la_scale_sum,
-    "la_dot": lambda s, d: _similar(s, d, linalg.dot), "la_cosine": lambda s, d: _similar(s, d, linalg.cosine),
+    "la_dot": lambda s, d: _similar(s, d, False), "la_cosine": lambda s, d: _similar(s, d, True),
     "eval_ndcg": eval_ndcg, "eval_ndcg_at": eval_ndcg_at, "eval_precision_recall": lambda s, d: _precision(s, d, assumed=ASSUMED_RELEVANT), "eval_precision_recall_list": _precision, "eval_set_precision": eval_set_precision,
 }
 
@@ -247,17 +228,24 @@ m AS (SELECT src AS i, dst AS j, CAST(1 AS DOUBLE) AS v FROM e),
 d AS (SELECT node AS i, CAST(out AS DOUBLE) AS v FROM deg)"""
 
 
-def _pagerank_sql(steps: int, start: str = "first") -> str:
+def _ended(step: str, change: str, tolerance: float, first: int, steps: int) -> str:
+    """CTE ended: the rows of the first of the steps whose change is within the tolerance."""
+    changes = " UNION ALL ".join(f"SELECT {k} AS k, {change} AS c FROM {step}{k} b JOIN {step}{k - 1} a USING (node)" for k in range(first, steps))
+    rows = " UNION ALL ".join(f"SELECT {k} AS k, * FROM {step}{k}" for k in range(first, steps))
+    return f", changes AS MATERIALIZED ({changes}), ended AS MATERIALIZED (SELECT * FROM ({rows}) WHERE k = (SELECT min(k) FROM changes WHERE c <= {tolerance}))"
+
+
+def _pagerank_sql(start: str = "first", steps: int = SQL_STEPS) -> str:
     first = "CASE WHEN node = (SELECT min(node) FROM deg) THEN 1.0 ELSE 0.0 END" if start == "first" else "1.0 / (SELECT count(*) FROM deg)"
     out = _EDGES + f", size AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM deg), r0 AS MATERIALIZED (SELECT node, out, CAST({first} AS DOUBLE) AS rank FROM deg)"
-    for k in range(1, steps + 1):
+    for k in range(1, steps):
         out += f""",
 g{k} AS MATERIALIZED (SELECT dst AS node, sum(rank / out) AS got FROM e JOIN r{k - 1} r ON r.node = e.src GROUP BY dst),
 r{k} AS MATERIALIZED (SELECT r.node, r.out, CAST(0.15 AS DOUBLE) / n + CAST(0.85 AS DOUBLE) * (coalesce(got, 0) + (SELECT sum(rank) FROM r{k - 1} WHERE out = 0) / n) AS rank FROM r{k - 1} r LEFT JOIN g{k} USING (node), size)"""
-    return out
+    return out + _ended("r", "sqrt(sum(pow(b.rank - a.rank, 2)))", RANK_CHANGE, 1, steps)
 
 
-def _hits_sql(steps: int) -> str:
+def _hits_sql(steps: int, ends: bool) -> str:
     out = _EDGES + ", raw0 AS MATERIALIZED (SELECT node, CAST(out AS DOUBLE) AS h, CAST(coalesce(n, 0) AS DOUBLE) AS a FROM deg LEFT JOIN (SELECT dst AS node, count(*) AS n FROM e GROUP BY dst) USING (node))"
     for k in range(steps):
         if k:
@@ -265,7 +253,9 @@ def _hits_sql(steps: int) -> str:
 raw{k} AS MATERIALIZED (SELECT node, coalesce(x.h, 0) AS h, coalesce(y.a, 0) AS a FROM deg LEFT JOIN (SELECT src AS node, sum(a) AS h FROM e JOIN v{k - 1} v ON v.node = dst GROUP BY src) x USING (node)
   LEFT JOIN (SELECT dst AS node, sum(h) AS a FROM e JOIN v{k - 1} v ON v.node = src GROUP BY dst) y USING (node))"""
         out += f", v{k} AS MATERIALIZED (SELECT node, h / (SELECT sqrt(sum(h * h)) FROM raw{k}) AS h, a / (SELECT sqrt(sum(a * a)) FROM raw{k}) AS a FROM raw{k})"
-    return out + f" SELECT node, round(h, 7) AS hub, round(a, 7) AS authority FROM v{steps - 1}"
+    if ends:
+        out += _ended("v", "sqrt(sum(pow(b.h - a.h, 2))) + sqrt(sum(pow(b.a - a.a, 2)))", SCORE_CHANGE, 1, steps)
+    return out + f" SELECT node, round(h, 7) AS hub, round(a, 7) AS authority FROM {'ended' if ends else f'v{steps - 1}'}"
 
 
 _RANKED = """
@@ -301,16 +291,18 @@ SQL = {
     "graph_nodes": _EDGES + " SELECT node FROM deg",
     "graph_outdegree": _EDGES + " SELECT node, out FROM deg",
     "graph_transpose": _EDGES + " SELECT dst AS src, src AS dst FROM e",
-    "graph_pagerank": _pagerank_sql(STEPS) + f" SELECT node, round(rank, 9) AS rank FROM r{STEPS}",
-    "graph_pagerank_uniform": _pagerank_sql(STEPS, "uniform") + f" SELECT node, round(rank, 9) AS rank FROM r{STEPS}",
-    "graph_pagerank_top": _pagerank_sql(STEPS) + f" SELECT node, round(rank, 9) AS rank FROM r{STEPS} ORDER BY r{STEPS}.rank DESC, node LIMIT 30",
-    "graph_pagerank_lines": _pagerank_sql(STEPS) + f" SELECT CAST(row_number() OVER (ORDER BY rank DESC, node) AS INTEGER) AS place, printf('%d: %.5f', node, rank) AS line FROM r{STEPS} ORDER BY rank DESC, node LIMIT 30",
-    "graph_pagerank_titles": _pagerank_sql(STEPS) + f" SELECT title, round(max(rank), 9) AS rank FROM r{STEPS} JOIN page_titles ON CAST(trim(node_id) AS BIGINT) = node GROUP BY title",
-    "graph_hits": _hits_sql(5),
+    "graph_pagerank": _pagerank_sql() + " SELECT node, round(rank, 9) AS rank FROM ended",
+    "graph_pagerank_uniform": _pagerank_sql("uniform") + " SELECT node, round(rank, 9) AS rank FROM ended",
+    "graph_pagerank_top": _pagerank_sql() + " SELECT node, round(rank, 9) AS rank FROM ended ORDER BY ended.rank DESC, node LIMIT 30",
+    "graph_pagerank_lines": _pagerank_sql() + " SELECT CAST(row_number() OVER (ORDER BY rank DESC, node) AS INTEGER) AS place, printf('%d: %.5f', node, rank) AS line FROM ended ORDER BY rank DESC, node LIMIT 30",
+    "graph_pagerank_titles": _pagerank_sql() + " SELECT title, round(max(rank), 9) AS rank FROM ended JOIN page_titles ON CAST(trim(node_id) AS BIGINT) = node GROUP BY title",
+    "graph_hits": _hits_sql(SQL_STEPS, True),
+    "graph_hits_steps": _hits_sql(5, False),
+    "graph_walks_near": _EDGES + " SELECT method, count(*) AS nodes, CAST(1 AS DOUBLE) AS total, true AS near FROM deg, (VALUES (1), (2), (4), (5)) AS m(method) GROUP BY method",
     "graph_base_set": _EDGES
     + """, root AS (SELECT DISTINCT CAST(trim(node_id) AS BIGINT) AS node FROM feedback_docs JOIN doc_info USING (doc_id) JOIN page_titles ON title = regexp_replace(name, '^.*/', ''))
 SELECT node FROM root UNION SELECT dst FROM e WHERE src IN (SELECT node FROM root) UNION SELECT src FROM e WHERE dst IN (SELECT node FROM root)""",
-    "graph_goodness": _pagerank_sql(STEPS) + f" SELECT round(sum(pow(b.rank - a.rank, 2)), 9) AS goodness FROM (SELECT * FROM r{STEPS} ORDER BY rank DESC, node LIMIT 30) b JOIN r2 a USING (node)",
+    "graph_goodness": _pagerank_sql() + " SELECT round(sum(pow(b.rank - a.rank, 2)), 9) AS goodness FROM (SELECT * FROM ended ORDER BY rank DESC, node LIMIT 30) b JOIN r2 a USING (node)",
     "la_spmv": _EDGES + " SELECT m.i, sum(m.v * d.v) AS v FROM m JOIN d ON d.i = m.j GROUP BY m.i",
     "la_left_spmv": _EDGES + " SELECT m.j AS i, sum(m.v * d.v) AS v FROM m JOIN d ON d.i = m.i GROUP BY m.j",
     "la_spmm": _EDGES + " SELECT a.i, b.j, sum(a.v * b.v) AS v FROM m a JOIN m b ON a.j = b.i GROUP BY a.i, b.j",

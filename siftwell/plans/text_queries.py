@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from siftwell.operators.graph import clean_edges
 from siftwell.operators.index import Index, append, compact, dense_ids, document_frequency, kgram_index, token_table
 from siftwell.plans.records import node_id, table
 from siftwell.plans.search import Searcher, parse
-from siftwell.session import checkpoint_dir, cut_lineage, ship_package
+from siftwell.session import cut_lineage, scratch_dir, ship_package
 from siftwell.streaming.ingest import document_stream, index_stream, read_stream_index
 
 QUERY = "library harbour ferry"
@@ -66,20 +64,16 @@ def idx_term_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_ids(index(spark, sf_dir).terms, "term", "term_id").select("term", "term_id")
 
 
-def _folder(spark: SparkSession) -> str:
-    return f"{checkpoint_dir(spark)}/siftwell-{uuid.uuid4().hex}"
-
-
 def idx_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written, and read again."""
-    path = _folder(spark)
+    path = scratch_dir(spark)
     index(spark, sf_dir).write(path)
     return _postings(Index.read(spark, path))
 
 
 def idx_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents come in by year, each year's partial index is appended, and the whole is compacted."""
-    docs, path = documents(spark, sf_dir), _folder(spark)
+    docs, path = documents(spark, sf_dir), scratch_dir(spark)
     year = F.coalesce(F.year("fetched_at"), F.lit(0))
     for part in (year < 2020, year >= 2020):
         append(Index.build(docs.where(part)), path)
@@ -94,7 +88,7 @@ def idx_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same index from a stream of document files."""
-    docs, path = documents(spark, sf_dir), _folder(spark)
+    docs, path = documents(spark, sf_dir), scratch_dir(spark)
     docs.write.parquet(path + "-in")
     query = index_stream(document_stream(spark, path + "-in", docs.schema), path, path + "-state")
     query.awaitTermination()

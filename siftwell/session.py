@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -34,19 +35,30 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, app: str = "siftwe
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the context's, else spark.checkpoint.dir, else (tests only) a temporary one."""
+    """The folder for checkpoints: the context's, else spark.checkpoint.dir; else a temporary one, where the master is local and
+    every task sees it. On a cluster without the setting there is no shared folder, which is an error."""
     sc = spark.sparkContext
     now = sc.getCheckpointDir()
     if now:
         return now
     wanted = spark.conf.get("spark.checkpoint.dir", None)
     if not wanted:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         wanted = tempfile.mkdtemp(prefix="siftwell-checkpoint-")
         atexit.register(shutil.rmtree, wanted, ignore_errors=True)
     sc.setCheckpointDir(wanted)
     return wanted
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A new name below the checkpoint folder for a table of this application, removed when the application ends."""
+    path = f"{checkpoint_dir(spark)}/siftwell-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df once to the shared checkpoint folder and go on from that copy."""
     checkpoint_dir(df.sparkSession)
@@ -54,15 +66,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def cut_lineage_in_place(df: DataFrame) -> DataFrame:
-    """The same, but plans go on knowing how df is partitioned and sorted. They only do where it was planned as it stands, so
-    adaptive planning is off for this one step."""
-    conf = df.sparkSession.conf
-    before = conf.get("spark.sql.adaptive.enabled", "true")
-    conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        return cut_lineage(df)
-    finally:
-        conf.set("spark.sql.adaptive.enabled", before)
+    """The same, but plans go on knowing how df is partitioned and sorted. They only do where it was planned as it stands, so this
+    one step is planned in a copy of the session in which adaptive planning is off."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    dataset, plain = spark._jvm.org.apache.spark.sql.classic.Dataset, spark._jsparkSession.cloneSession()
+    plain.conf().set("spark.sql.adaptive.enabled", "false")
+    cut = dataset.ofRows(plain, df._jdf.queryExecution().analyzed()).checkpoint(True)
+    return DataFrame(dataset.ofRows(spark._jsparkSession, cut.logicalPlan()), spark)
 
 
 def shuffle_width(spark: SparkSession) -> int:

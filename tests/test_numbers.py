@@ -1,8 +1,11 @@
 import math
+import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from siftwell import session
 from siftwell.operators import evaluate, linalg, skew
 
 A = np.array([[1.0, 0, 2], [0, 0, 0], [3, -1, 0]])
@@ -68,3 +71,46 @@ def test_checked_broadcast_join(spark):
         want = sorted(map(str, big.join(small, ["k"], how).collect()))
         for bound in (0, 100):
             assert sorted(map(str, skew.checked_broadcast_join(big, small, ["k"], how, bound).collect())) == want
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_product_join(spark, monkeypatch, small):
+    monkeypatch.setattr(skew, "is_small", lambda *_: small)
+    monkeypatch.setattr(skew, "HOT_ROWS", 10)
+    r = random.Random(1)
+    left = [(r.choice([1, 1, 1, 2, 3, None]), i) for i in range(80)]
+    right = [(r.choice([1, 2, 2, 2, 2, 4, None]), i) for i in range(90)]
+    got = skew.product_join(spark.createDataFrame(left, "k bigint, a bigint"), spark.createDataFrame(right, "k bigint, b bigint"), "k").collect()
+    assert sorted((g.k, g.a, g.b) for g in got) == sorted((k, a, b) for k, a in left for q, b in right if k is not None and k == q)
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_vector_products(spark, monkeypatch, block):
+    monkeypatch.setattr(linalg, "BLOCK_VECTORS", block)
+    r = np.random.default_rng(1)
+    x = r.normal(size=(40, 5))
+    x[3] = 0
+    df = spark.createDataFrame([(i, v.tolist(), "clash") for i, v in enumerate(x)] + [(99, None, ""), (None, [1.0] * 5, "")], "vec_id bigint, embedding array<float>, query string")
+    for unit in (False, True):
+        got = {(g["query"], g.vec_id): g.v for g in linalg.vector_products(df.where("vec_id % 5 = 3"), df, "vec_id", "embedding", unit).collect()}
+        assert len(got) == 8 * 40
+        for (a, b), v in got.items():
+            p, q = np.float32(x[a]).astype(float), np.float32(x[b]).astype(float)
+            if unit and 3 in (a, b):
+                assert v is None
+            else:
+                assert abs(v - p @ q / (np.linalg.norm(p) * np.linalg.norm(q) if unit else 1)) < 1e-9
+    assert linalg.vector_products(df.limit(0), df, "vec_id", "embedding").count() == 0
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default: default)})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(Session)
