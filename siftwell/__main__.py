@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
 from siftwell.operators import graph, walks, wildcard
-from siftwell.operators.index import Index, kgram_index, token_table
+from siftwell.operators.index import Index, token_table
 from siftwell.plans.search import QueryType, Ranking, Searcher
 from siftwell.session import local_session, ship_package
 from siftwell.sources import files
@@ -78,7 +78,7 @@ def suggest(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def kgrams(spark: SparkSession, a: argparse.Namespace) -> None:
-    terms = wildcard.kgram_intersection(kgram_index(Index.read(spark, a.index).terms, a.k), a.kgram)
+    terms = wildcard.kgram_intersection(Index.read(spark, a.index).kgrams(a.k), a.kgram)
     print(f"{terms.count()} terms")
     for row in terms.orderBy("term").limit(10).collect():
         print(row["term"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwell.operators.index import Index
 from siftwell.operators.retrieval import literal_slots
+from siftwell.operators.skew import checked_broadcast_join
 from siftwell.session import cut_lineage
 
 ALPHA = 1.0
@@ -21,11 +22,10 @@ def rocchio(spark: SparkSession, index: Index, terms: list[tuple[str, float]], r
     marked = relevant.select("doc_id").distinct()
     count = F.broadcast(marked.agg(F.count(F.lit(1)).alias("n_relevant")))  # one row
     asked = literal_slots(spark, terms).select("term", (F.col("weight") * F.lit(alpha / max(1, len(terms)))).alias("part"))
-    seen = index.postings.join(marked, "doc_id", "left_semi").groupBy("term").agg(F.sum("tf").alias("tf"))
+    seen = checked_broadcast_join(index.postings.select("term", "doc_id", "tf"), marked, ["doc_id"], "left_semi").groupBy("term").agg(F.sum("tf").alias("tf"))
     seen = seen.join(count).select("term", (F.lit(beta) * F.col("tf") / F.col("n_relevant")).alias("part"))
     parts = cut_lineage(asked.unionByName(seen).groupBy("term").agg(F.sum("part").alias("part")))
-    df = index.postings.select("term", "doc_id").join(parts.select("term"), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return parts.join(df, "term").join(n).select("term", (F.col("part") * F.log(F.col("n_docs") / F.col("df"))).alias("weight"))
+    return checked_broadcast_join(index.terms, parts, ["term"]).join(n).select("term", (F.col("part") * F.log(F.col("n_docs") / F.col("df"))).alias("weight"))
 
 
 def feedback_slots(weights: DataFrame) -> DataFrame:

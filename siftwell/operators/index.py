@@ -45,16 +45,25 @@ def dense_ids(df: DataFrame, by: str, name: str) -> DataFrame:
 
 
 def kgram_index(terms: DataFrame, k: int = 2) -> DataFrame:
-    """(kgram, term) for each distinct term."""
-    return terms.select("term").distinct().select(F.explode(kgrams(F.col("term"), k)).alias("kgram"), "term")
+    """(kgram, term, df, n_grams) from distinct (term, df); n_grams is the term's number of k-grams."""
+    grams = kgrams(F.col("term"), k)
+    return terms.select("term", "df", grams.alias("grams")).select(F.explode("grams").alias("kgram"), "term", "df", F.size("grams").alias("n_grams"))
 
 
 @dataclass(frozen=True)
 class Index:
-    """postings(term, doc_id, tf, positions, length) and docs(doc_id, name, length); all lazy, built or read."""
+    """postings(term, doc_id, tf, positions, length) and docs(doc_id, name, length); all lazy, built or read.
+
+    A stored index also has its dictionary(term, df, cf) and grams(kgram, term, df, n_grams) of k characters, sorted, so what a
+    query's words name is found by the files' statistics; otherwise both are derived from the postings.
+    """
 
     postings: DataFrame
     docs: DataFrame
+    dictionary: DataFrame | None = None
+    grams: DataFrame | None = None
+    k: int = 2
+    token_rows: DataFrame | None = None
 
     @classmethod
     def build(cls, documents: DataFrame, doc_id: str = "doc_id", text: str = "text", name: str | None = None, words: Column | None = None) -> Index:
@@ -63,29 +72,46 @@ class Index:
         label = F.col(name) if name else F.concat(F.lit("docs/"), F.col(doc_id).cast("string"))
         docs = documents.select(F.col(doc_id).alias("doc_id"), label.alias("name"), F.size(array).alias("length"))
         words_of = documents.select(F.col(doc_id).alias("doc_id"), array.alias("w"))
-        return cls(postings_of(words_of.select("doc_id", F.size("w").alias("length"), F.posexplode("w").alias("pos", "term"))), docs)
+        rows = words_of.select("doc_id", F.size("w").alias("length"), F.posexplode("w").alias("pos", "term"))
+        return cls(postings_of(rows), docs, token_rows=rows)
 
     @property
     def terms(self) -> DataFrame:
-        return document_frequency(self.postings)
+        """(term, df) of each term."""
+        return document_frequency(self.postings) if self.dictionary is None else self.dictionary.select("term", "df")
+
+    def kgrams(self, k: int = 2) -> DataFrame:
+        """(kgram, term, df, n_grams), as stored where k is the stored length."""
+        return self.grams if self.grams is not None and k == self.k else kgram_index(self.terms, k)
 
     def write(self, path: str, mode: str = "overwrite") -> None:
-        """Parquet, postings sorted by term within files so that a term's row groups are found by their statistics."""
-        self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode(mode).parquet(f"{path}/postings")
+        """Parquet: postings sorted by term and document, dictionary by term, k-grams by k-gram. The tokens of an index that is being
+        built are placed by ranges of (term, doc_id) at once, so grouping them needs no shuffle of its own."""
+        keys = ["term", "doc_id"]
+        rows = self.postings.repartitionByRange(*keys) if self.token_rows is None else postings_of(self.token_rows.repartitionByRange(*keys))
+        rows.sortWithinPartitions(*keys).write.mode(mode).parquet(f"{path}/postings")
         self.docs.write.mode(mode).parquet(f"{path}/docs")
+        spark = self.docs.sparkSession
+        # the part just written; earlier ones of an appended index are counted already
+        fresh = self.postings if mode == "append" else spark.read.parquet(f"{path}/postings")
+        words = fresh.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+        words.repartitionByRange("term").sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/terms")
+        words = spark.read.parquet(f"{path}/terms") if mode != "append" else words
+        kgram_index(words, self.k).repartitionByRange("kgram", "term").sortWithinPartitions("kgram", "term").write.mode(mode).parquet(f"{path}/kgrams")
 
     @classmethod
-    def read(cls, spark: SparkSession, path: str) -> Index:
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs"))
+    def read(cls, spark: SparkSession, path: str, in_memory: bool = False) -> Index:
+        """A stored index, from its files or kept in memory once read. Parts that were appended are added up; filters on terms and
+        k-grams still reach the files."""
+        words = spark.read.parquet(f"{path}/terms").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+        grams = spark.read.parquet(f"{path}/kgrams").groupBy("kgram", "term", "n_grams").agg(F.sum("df").alias("df"))
+        found = cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs"), words, grams.select("kgram", "term", "df", "n_grams"))
+        return found.in_memory() if in_memory else found
 
     def in_memory(self) -> Index:
         """The index kept by the executors' block managers, for many searches in a row."""
-        return replace(self, postings=self.postings.cache(), docs=self.docs.cache())
-
-    def held(self, positions: bool = False) -> Index:
-        """The postings written to the checkpoint folder once, for a query that reads them several times."""
-        columns = ["term", "doc_id", "tf", "length", *["positions"] * positions]
-        return replace(self, postings=cut_lineage(self.postings.select(*columns)))
+        kept = {c: getattr(self, c).cache() for c in ("postings", "docs", "dictionary", "grams") if getattr(self, c) is not None}
+        return replace(self, **kept, token_rows=None)
 
     def merged(self, other: Index) -> Index:
         """Two partial indexes over different documents; postings are flat, so merging is a union."""

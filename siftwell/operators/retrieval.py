@@ -6,7 +6,7 @@ for a wildcard. A literal query's slots are made on the driver and are as few as
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.operators.index import Index
@@ -21,12 +21,15 @@ def literal_slots(spark: SparkSession, terms: list[tuple[str, float]]) -> DataFr
     return spark.createDataFrame([(i, t, float(w)) for i, (t, w) in enumerate(terms)], SLOTS)
 
 
-def matched(index: Index, slots: DataFrame, literal: list[str] | None = None) -> DataFrame:
-    """Postings joined with slots. literal terms, if given, also go down to the scan as a filter."""
+def matched(index: Index, slots: DataFrame, literal: list[str] | None = None, within: Column | None = None) -> DataFrame:
+    """Postings joined with slots. literal terms go down to the scan as a filter, else within, a condition on term that all
+    terms of the slots meet."""
     postings = index.postings
     if literal is not None:
         postings = postings.where(F.col("term").isin(sorted(set(literal))))
         return postings.join(F.broadcast(slots), "term")  # as many slots as the query has words
+    if within is not None:
+        postings = postings.where(within)
     return checked_broadcast_join(postings, slots, ["term"])
 
 
@@ -44,7 +47,7 @@ def missing_terms(index: Index, literal: list[str]) -> DataFrame:
     """The query's terms that no document has; spelling suggestions start from these."""
     spark = index.postings.sparkSession
     wanted = spark.createDataFrame([(t,) for t in sorted(set(literal))], "term string")
-    have = index.postings.where(F.col("term").isin(sorted(set(literal)))).select("term").distinct()
+    have = index.terms.where(F.col("term").isin(sorted(set(literal)))).select("term")
     return wanted.join(have, "term", "left_anti")
 
 
@@ -60,14 +63,23 @@ def phrase(rows: DataFrame, n_slots: int) -> DataFrame:
     return starts.where(F.col("n") == n_slots).select("doc_id").distinct().orderBy("doc_id")
 
 
-def tfidf(index: Index, rows: DataFrame, exact_division: bool = False) -> DataFrame:
+def _frequencies(index: Index, rows: DataFrame, literal: list[str] | None) -> DataFrame:
+    """(term, df) of the query's terms: from a stored dictionary, else from the query's postings."""
+    if index.dictionary is None:
+        return rows.select("term", "doc_id").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    if literal is not None:
+        return index.terms.where(F.col("term").isin(sorted(set(literal))))
+    return checked_broadcast_join(index.terms, rows.select("term").distinct(), ["term"], "left_semi")
+
+
+def tfidf(index: Index, rows: DataFrame, exact_division: bool = False, literal: list[str] | None = None) -> DataFrame:
     """(doc_id, score): sum of weight * tf * ln(N / df) over the query, by the document's length; N / df is rounded down
     unless exact_division. Every document with a term comes out, at score 0 too."""
     n = F.broadcast(index.docs.agg(F.count(F.lit(1)).alias("n_docs")))  # one row
-    df = rows.select("term", "doc_id").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     ratio = F.col("n_docs") / F.col("df")
-    idf = df.join(n).select("term", F.log(ratio if exact_division else F.floor(ratio).cast("double")).alias("idf"))
-    scored = checked_broadcast_join(rows.select("term", "doc_id", "tf", "length", "weight"), idf, ["term"])
+    idf = _frequencies(index, rows, literal).join(n).select("term", F.log(ratio if exact_division else F.floor(ratio).cast("double")).alias("idf"))
+    rows = rows.select("term", "doc_id", "tf", "length", "weight")
+    scored = rows.join(F.broadcast(idf), "term") if literal is not None else checked_broadcast_join(rows, idf, ["term"])  # a row for each word of the query
     out = scored.groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("tf") * F.col("idf")).alias("total"), F.first("length").alias("length"))
     return out.select("doc_id", F.coalesce(F.try_divide(F.col("total"), F.col("length")), F.lit(0.0)).alias("score"))
 
@@ -86,9 +98,9 @@ def pagerank_ranking(index: Index, rows: DataFrame, pageranks: DataFrame) -> Dat
     return normalised(docs.select("doc_id", F.coalesce("rank", F.lit(0.0)).alias("score")), "score")
 
 
-def combination(index: Index, rows: DataFrame, pageranks: DataFrame, text_weight: float = TEXT_WEIGHT) -> DataFrame:
+def combination(index: Index, rows: DataFrame, pageranks: DataFrame, text_weight: float = TEXT_WEIGHT, literal: list[str] | None = None) -> DataFrame:
     """(doc_id, score): text_weight of the text score's share and the rest of the page rank's."""
-    both = tfidf(index, rows).join(pageranks.select("doc_id", F.col("rank").alias("pr")), "doc_id", "left").withColumn("pr", F.coalesce("pr", F.lit(0.0)))
+    both = tfidf(index, rows, literal=literal).join(pageranks.select("doc_id", F.col("rank").alias("pr")), "doc_id", "left").withColumn("pr", F.coalesce("pr", F.lit(0.0)))
     sums = F.broadcast(both.agg(F.sum("score").alias("__s"), F.sum("pr").alias("__p")))  # one row
     part = lambda x, total: F.coalesce(F.try_divide(F.col(x), F.col(total)), F.lit(0.0))
     return both.join(sums).select("doc_id", (text_weight * part("score", "__s") + (1 - text_weight) * part("pr", "__p")).alias("score"))

@@ -226,14 +226,15 @@ def enough(n_nodes: int, least: int, per_node: int) -> int:
 
 
 def sweep(n_nodes: int) -> list[int]:
-    """The numbers of walks to compare methods at: one to ten times each power of ten from the number of nodes' to two above; those
-    below the number of nodes, which a cyclic method can't take, are left out."""
+    """The numbers of walks to compare methods at: one to ten times each power of ten from the number of nodes' to two above."""
     least = len(str(max(1, n_nodes))) - 1
-    return sorted({x for m in range(least, least + 3) for k in range(1, 11) if (x := k * 10**m) >= n_nodes})
+    return [k * 10**m for m in range(least, least + 3) for k in range(1, 11)]
 
 
 def sweep_goodness(reference: DataFrame, edges: DataFrame, method: int, numbers: Callable[[int], list[int]] = sweep, k: int = 30, **how) -> DataFrame:
-    """(walks, goodness) of a method for each number of walks, over the reference's (node, rank) k greatest ranks."""
+    """(walks, goodness) of a method for each number of walks, over the reference's (node, rank) k greatest ranks. Numbers below that of
+    the nodes are left out where each node begins a walk."""
+    taken = lambda n: [x for x in numbers(n) if x >= n or not METHODS[method].cyclic]
     best = reference.orderBy(F.desc("rank"), "node").limit(k).select("node", F.col("rank").alias("want"))
-    found = walk_series(edges, numbers, method, **how).join(F.broadcast(best), "node")  # k rows
+    found = walk_series(edges, taken, method, **how).join(F.broadcast(best), "node")  # k rows
     return found.groupBy("walks").agg(F.sum(F.pow(F.col("want") - F.col("rank"), 2)).alias("goodness"))

@@ -34,3 +34,16 @@ def expand(kgrams: DataFrame, pattern: str, k: int = 2) -> DataFrame:
     if not wanted:
         return kgrams.select("term").where(F.lit(False))
     return kgram_intersection(kgrams, wanted).where(matches(F.col("term"), pattern))
+
+
+def scan_filter(terms: list[str]) -> Column | None:
+    """A condition on term that all terms of a query with wildcards meet, of the kind that files' statistics can answer; none if a wildcard
+    has no beginning."""
+    found = None
+    for t in terms:
+        prefix = t.partition(WILD)[0]
+        if not prefix:
+            return None
+        one = F.col("term").startswith(prefix) if WILD in t else F.col("term") == t
+        found = one if found is None else found | one
+    return found

@@ -130,7 +130,7 @@ def src_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The graph written as lines 'node;out,out,' and read again; a node with many links has several lines."""
     e = edges(spark, sf_dir).select(F.monotonically_increasing_id().alias("id"), "src", "dst")
     lines = links_by_source(e, "id", F.col("src"), F.col("dst")).select(F.concat(F.col("src").cast("string"), F.lit(";"), F.array_join(F.col("link").cast("array<string>"), ","), F.lit(",")).alias("value"))
-    path = scratch_dir(spark)
+    path = scratch_dir(spark) + "/lines"
     lines.write.text(path)
     return read_links(spark, path)[0]
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.operators import feedback, graph, retrieval, spelling, wildcard
-from siftwell.operators.index import Index, kgram_index
+from siftwell.operators.index import Index
 from siftwell.session import cut_lineage
 
 
@@ -50,7 +50,7 @@ class Searcher:
         if len(literal) == len(terms):
             return retrieval.literal_slots(self.spark, terms), literal
         slots = retrieval.literal_slots(self.spark, [("", 0.0)]).where("false")
-        grams = kgram_index(self.index.terms, self.k)
+        grams = self.index.kgrams(self.k)
         for i, (t, w) in enumerate(terms):
             if wildcard.WILD in t:
                 slots = slots.unionByName(wildcard.expand(grams, t, self.k).select(F.lit(i).alias("ord"), "term", F.lit(w).alias("weight")))
@@ -58,6 +58,11 @@ class Searcher:
                 slots = slots.unionByName(self.spark.createDataFrame([(i, t, w)], retrieval.SLOTS))
         return slots, None
 
+    @staticmethod
+    def query_length(query: str) -> int:
+        """The number of a query's words."""
+        return len(parse(query))
+
     def search(self, query: str, kind: QueryType | str = QueryType.RANKED, ranking: Ranking | str = Ranking.TFIDF) -> DataFrame:
         """(doc_id) by id for intersection and phrase, (doc_id, score) by score for ranked queries. An empty query finds
         nothing, and so does one with a word (not a wildcard) that no document has."""
@@ -70,22 +75,22 @@ class Searcher:
             slots = slots.groupBy("term").agg(F.lit(0).alias("ord"), F.lit(1.0).alias("weight"))  # one bag of all terms
         if literal is None:
             slots = cut_lineage(slots)  # read to check its size, and to join
-        rows = retrieval.matched(self.index, slots, literal)
+        rows = retrieval.matched(self.index, slots, literal, wildcard.scan_filter([t for t, _ in terms]))
         if kind is QueryType.INTERSECTION:
             return retrieval.intersection(rows, len(terms))
         if kind is QueryType.PHRASE:
             return retrieval.phrase(rows, len(terms))
         rows = cut_lineage(rows.drop("positions"))  # the query's postings only; read for what is known, for df and to score
         rows = retrieval.if_all_known(rows, [t for t, _ in terms if wildcard.WILD not in t])
-        return retrieval.by_score(self._ranked(rows, ranking))
+        return retrieval.by_score(self._ranked(rows, ranking, literal))
 
-    def _ranked(self, rows: DataFrame, ranking: Ranking) -> DataFrame:
+    def _ranked(self, rows: DataFrame, ranking: Ranking, literal: list[str] | None) -> DataFrame:
         if ranking is Ranking.TFIDF:
-            return retrieval.tfidf(self.index, rows)
+            return retrieval.tfidf(self.index, rows, literal=literal)
         if ranking is Ranking.PAGERANK:
             return retrieval.pagerank_ranking(self.index, rows, self.pageranks)
         if ranking is Ranking.COMBINATION:
-            return retrieval.combination(self.index, rows, self.pageranks)
+            return retrieval.combination(self.index, rows, self.pageranks, literal=literal)
         return graph.hits_ranking(self.edges, self.titles, self.doc_titles, rows)
 
     def with_feedback(self, query: str, relevant: DataFrame) -> DataFrame:
@@ -96,4 +101,4 @@ class Searcher:
 
     def suggest(self, query: str, limit: int = 10) -> DataFrame:
         """(suggestion, score) for a query that found nothing."""
-        return spelling.suggest(self.spark, self.index.terms, [t for t, _ in parse(query)], limit, self.k)
+        return spelling.suggest(self.spark, self.index.kgrams(self.k), [t for t, _ in parse(query)], limit, self.k)

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from siftwell.functions import text as T
 from siftwell.operators import feedback, retrieval, spelling, wildcard
 from siftwell.operators.graph import clean_edges
-from siftwell.operators.index import Index, append, compact, dense_ids, document_frequency, kgram_index, token_table
+from siftwell.operators.index import Index, append, compact, dense_ids, document_frequency, token_table
 from siftwell.plans.records import node_id, table
 from siftwell.plans.search import Searcher, parse
-from siftwell.session import cut_lineage, scratch_dir, ship_package
+from siftwell.session import exists, scratch_dir, ship_package
 from siftwell.streaming.ingest import document_stream, index_stream, read_stream_index
 
 QUERY = "library harbour ferry"
@@ -32,15 +32,30 @@ def index(spark: SparkSession, sf_dir: str) -> Index:
     return Index.build(documents(spark, sf_dir))
 
 
-def searcher(spark: SparkSession, sf_dir: str, held: str = "") -> Searcher:
-    """held: '' to leave the index lazy, 'counts' or 'positions' to write its postings first."""
+_stored: dict[tuple[str, str], str] = {}
+
+
+def store(spark: SparkSession, sf_dir: str) -> Index:
+    """Writes the index of the documents, and reads it."""
+    path = scratch_dir(spark)
+    index(spark, sf_dir).write(path)
+    _stored[(spark.sparkContext.applicationId, sf_dir)] = path
+    return Index.read(spark, path)
+
+
+def stored(spark: SparkSession, sf_dir: str) -> Index:
+    """The stored index of the documents, written by the first query of an application that asks for it."""
+    path = _stored.get((spark.sparkContext.applicationId, sf_dir))
+    return Index.read(spark, path) if path and exists(spark, path) else store(spark, sf_dir)
+
+
+def searcher(spark: SparkSession, sf_dir: str) -> Searcher:
     info = table(spark, sf_dir, "doc_info").select("doc_id", T.base_name(F.col("name")).alias("title")).dropna().distinct()
     ranks = table(spark, sf_dir, "pageranks").groupBy(F.col("name").alias("title")).agg(F.max("rank").alias("rank"))
     of_doc = info.join(ranks, "title").groupBy("doc_id").agg(F.max("rank").alias("rank"))
     edges = clean_edges(table(spark, sf_dir, "link_edges"), node_id("src"), node_id("dst"))
     titles = table(spark, sf_dir, "page_titles").select(node_id("node_id").alias("node"), "title").dropna().distinct()
-    ix = index(spark, sf_dir)
-    return Searcher(spark, ix.held(held == "positions") if held else ix, of_doc, edges, titles, info)
+    return Searcher(spark, stored(spark, sf_dir), of_doc, edges, titles, info)
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -65,10 +80,13 @@ def idx_term_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def idx_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Written, and read again."""
-    path = scratch_dir(spark)
-    index(spark, sf_dir).write(path)
-    return _postings(Index.read(spark, path))
+    """Written with its dictionary and k-grams, and read again."""
+    return _postings(store(spark, sf_dir))
+
+
+def idx_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored dictionary."""
+    return stored(spark, sf_dir).dictionary
 
 
 def idx_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +95,7 @@ def idx_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     year = F.coalesce(F.year("fetched_at"), F.lit(0))
     for part in (year < 2020, year >= 2020):
         append(Index.build(docs.where(part)), path)
-    return _postings(compact(spark, path, path + "-whole"))
+    return _postings(compact(spark, path, path + "/whole"))
 
 
 def idx_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,20 +107,19 @@ def idx_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same index from a stream of document files."""
     docs, path = documents(spark, sf_dir), scratch_dir(spark)
-    docs.write.parquet(path + "-in")
-    query = index_stream(document_stream(spark, path + "-in", docs.schema), path, path + "-state")
+    docs.write.parquet(path + "/in")
+    query = index_stream(document_stream(spark, path + "/in", docs.schema), path, path + "/state")
     query.awaitTermination()
     return _postings(read_stream_index(spark, path))
 
 
 def idx_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index(spark, sf_dir).lookup("library").select("doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"))
+    return stored(spark, sf_dir).lookup("library").select("doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"))
 
 
 def _search(query: str, kind: str, ranking: str = "tfidf"):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        held = ("positions" if kind == "phrase" else "counts") if "*" in query else ""
-        found = searcher(spark, sf_dir, held).search(query, kind, ranking)
+        found = searcher(spark, sf_dir).search(query, kind, ranking)
         return _rounded(found) if kind == "ranked" else found
 
     return run
@@ -113,9 +130,9 @@ def ret_tfidf_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ret_tfidf_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ix, terms = index(spark, sf_dir), parse(QUERY)
-    rows = retrieval.matched(ix, retrieval.literal_slots(spark, terms), [t for t, _ in terms])
-    return _rounded(retrieval.tfidf(ix, rows, exact_division=True))
+    ix, terms = stored(spark, sf_dir), parse(QUERY)
+    literal = [t for t, _ in terms]
+    return _rounded(retrieval.tfidf(ix, retrieval.matched(ix, retrieval.literal_slots(spark, terms), literal), True, literal))
 
 
 def ret_top(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,48 +145,48 @@ def ret_next_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ret_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.missing_terms(index(spark, sf_dir), ["library", "zzzunknown"])
+    return retrieval.missing_terms(stored(spark, sf_dir), ["library", "zzzunknown"])
 
 
 def kgram_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kgram_index(index(spark, sf_dir).terms)
+    return stored(spark, sf_dir).kgrams().select("kgram", "term")
 
 
 def kgram_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wildcard.kgram_intersection(kgram_index(index(spark, sf_dir).terms), ["^b", "ar", "y$"])
+    return wildcard.kgram_intersection(stored(spark, sf_dir).kgrams(), ["^b", "ar", "y$"])
 
 
 def wild_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wildcard.expand(kgram_index(index(spark, sf_dir).terms), "b*ry")
+    return wildcard.expand(stored(spark, sf_dir).kgrams(), "b*ry")
 
 
 def spell_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spelling.overlaps(spark, index(spark, sf_dir).terms, MISSPELT).where(F.col("jaccard") >= spelling.LEAST_JACCARD)
+    found = spelling.overlaps(spark, stored(spark, sf_dir).kgrams(), MISSPELT).where(F.col("jaccard") >= spelling.LEAST_JACCARD)
     return found.select("word", "term", F.round("jaccard", 6).alias("jaccard"))
 
 
 def spell_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spelling.candidates(spark, index(spark, sf_dir).terms, MISSPELT)
+    found = spelling.candidates(spark, stored(spark, sf_dir).kgrams(), MISSPELT)
     return found.select("word", "term", "df", F.col("edits").cast("bigint").alias("edits"))
 
 
 def spell_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spelling.scored(spelling.candidates(spark, cut_lineage(index(spark, sf_dir).terms), MISSPELT))
+    found = spelling.scored(spelling.candidates(spark, stored(spark, sf_dir).kgrams(), MISSPELT))
     return found.select("ord", "term", F.round("score", 6).alias("score"))
 
 
 def spell_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spelling.suggest(spark, cut_lineage(index(spark, sf_dir).terms), MISSPELT)
+    found = spelling.suggest(spark, stored(spark, sf_dir).kgrams(), MISSPELT)
     return found.select("suggestion", F.round("score", 6).alias("score"))
 
 
 def fb_rocchio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights = feedback.rocchio(spark, index(spark, sf_dir).held(), parse(QUERY), table(spark, sf_dir, "feedback_docs"))
+    weights = feedback.rocchio(spark, stored(spark, sf_dir), parse(QUERY), table(spark, sf_dir, "feedback_docs"))
     return weights.select("term", F.round("weight", 6).alias("weight"))
 
 
 def fb_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(searcher(spark, sf_dir, "counts").with_feedback(QUERY, table(spark, sf_dir, "feedback_docs")))
+    return _rounded(searcher(spark, sf_dir).with_feedback(QUERY, table(spark, sf_dir, "feedback_docs")))
 
 
 def prj_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +197,7 @@ def prj_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "tok_standard": _tokens(), "tok_case": _tokens(case_folding=False), "tok_keep_punct": _tokens(punctuation=True), "tok_accents": _tokens(accents=False), "tok_patterns": tok_patterns,
     "idx_postings": lambda s, d: _postings(index(s, d)), "idx_doc_length": lambda s, d: index(s, d).docs, "idx_doc_freq": lambda s, d: document_frequency(index(s, d).postings),
-    "idx_term_ids": idx_term_ids, "idx_lookup": idx_lookup, "idx_parquet": idx_parquet, "idx_incremental": idx_incremental, "idx_merge": idx_merge, "stream_index": stream_index,
+    "idx_term_ids": idx_term_ids, "idx_terms": idx_terms, "idx_lookup": idx_lookup, "idx_parquet": idx_parquet, "idx_incremental": idx_incremental, "idx_merge": idx_merge, "stream_index": stream_index,
     "ret_term": _search("library", "intersection"), "ret_intersection": _search("library ferry", "intersection"), "ret_phrase": _search(PHRASE, "phrase"), "ret_tfidf": _search(QUERY, "ranked"),
     "ret_tfidf_weighted": ret_tfidf_weighted, "ret_tfidf_exact": ret_tfidf_exact, "ret_top": ret_top, "ret_next_page": ret_next_page, "ret_missing": ret_missing,
     "ret_unknown_word": _search("library zzzunknown", "ranked"), "ret_pagerank": _search(QUERY, "ranked", "pagerank"), "ret_combination": _search(QUERY, "ranked", "combination"), "ret_hits": _search(QUERY, "ranked", "hits"),
@@ -294,6 +311,7 @@ SQL = {
     "stream_index": _ALL_POSTINGS,
     "idx_doc_length": _IDX + " SELECT doc_id, 'docs/' || doc_id AS name, length FROM docs",
     "idx_doc_freq": _IDX + " SELECT term, df FROM vocab",
+    "idx_terms": _IDX + " SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY term",
     "idx_term_ids": _IDX + " SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id FROM vocab",
     "idx_lookup": _IDX + " SELECT doc_id, tf, positions FROM post WHERE term = 'library'",
     "ret_term": _IDX + _query("library") + _BOTH,

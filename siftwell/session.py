@@ -51,11 +51,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return wanted
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, place = _file_system(spark, path)
+    return system.exists(place)
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """A new name below the checkpoint folder for a table of this application, removed when the application ends."""
+    """A new folder below the checkpoint folder for tables of this application, removed when the application ends."""
     path = f"{checkpoint_dir(spark)}/siftwell-{uuid.uuid4().hex}"
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    system, place = _file_system(spark, path)
+    system.mkdirs(place)
+    system.deleteOnExit(place)
     return path
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwell.operators import feedback, retrieval, spelling, wildcard
-from siftwell.operators.index import Index, append, compact, dense_ids, kgram_index
+from siftwell.operators.index import Index, append, compact, dense_ids
 from siftwell.plans.search import Searcher, parse
 
 DOCS = [
@@ -13,9 +13,14 @@ DOCS = [
 ]
 
 
-@pytest.fixture(scope="module")
-def index(spark):
-    return Index.build(spark.createDataFrame(DOCS, "doc_id bigint, text string")).in_memory()
+@pytest.fixture(scope="module", params=["built", "stored"])
+def index(spark, request, tmp_path_factory):
+    built = Index.build(spark.createDataFrame(DOCS, "doc_id bigint, text string"))
+    if request.param == "built":
+        return built.in_memory()
+    path = str(tmp_path_factory.mktemp("index"))
+    built.write(path)
+    return Index.read(spark, path, in_memory=True)
 
 
 @pytest.fixture(scope="module")
@@ -69,7 +74,7 @@ def test_no_division_by_zero(engine):
 
 
 def test_wildcards(engine, index):
-    grams = kgram_index(index.terms)
+    grams = index.kgrams()
     found = lambda p: sorted(r.term for r in wildcard.expand(grams, p).collect())
     assert found("mon*y") == ["money", "mony"] and found("re*re") == ["re"] and found("re*ve") == ["reve"] and found("*") == [] and found("co*r") == ["color", "colour"]
     assert ids(engine.search("mon*", "intersection")) == [2, 5, 8]
@@ -80,7 +85,7 @@ def test_wildcards(engine, index):
 
 
 def test_spelling(spark, index, engine):
-    got = {(r.term, r.edits) for r in spelling.candidates(spark, index.terms, ["moneyy"]).collect()}
+    got = {(r.term, r.edits) for r in spelling.candidates(spark, index.kgrams(), ["moneyy"]).collect()}
     assert got == {("money", 1), ("mony", 2)}
     assert [r.suggestion for r in engine.suggest("colr quen").collect()][:2] == ["color queen", "colour queen"]
     assert [r.suggestion for r in engine.suggest("zzzz quen").collect()] == ["zzzz queen"]
@@ -107,6 +112,10 @@ def test_parts_append_and_compact(spark, tmp_path):
     whole = sorted(map(tuple, Index.build(df).postings.select("term", "doc_id", "tf").collect()))
     for part in ("doc_id < 5", "doc_id >= 5"):
         append(Index.build(df.where(part)), str(tmp_path / "ix"))
+    parts = Index.read(spark, str(tmp_path / "ix"))
+    want = {t: (sum(t == w[0] for w in whole), sum(w[2] for w in whole if w[0] == t)) for t, _, _ in whole}
+    assert {r.term: (r.df, r.cf) for r in parts.dictionary.collect()} == want
+    assert {r.term: r.df for r in parts.kgrams().collect()} == {t: df for t, (df, _) in want.items()} and parts.kgrams().count() == parts.kgrams(2).distinct().count()
     done = compact(spark, str(tmp_path / "ix"), str(tmp_path / "whole"))
     assert sorted(map(tuple, done.postings.select("term", "doc_id", "tf").collect())) == whole and done.docs.count() == len(DOCS)
     assert [r.doc_id for r in done.lookup("queen").collect()] == [1, 2, 5, 7]
@@ -122,3 +131,22 @@ def test_empty_collection(spark):
     index = Index.build(spark.createDataFrame([], "doc_id bigint, text string"))
     assert Searcher(spark, index).search("queen").count() == 0
     assert index.docs.where(F.col("length") > 0).count() == 0
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_searches_read_what_their_words_name(spark, tmp_path):
+    """Filters on terms and k-grams reach the files of a stored index, through the sums over appended parts too."""
+    path = str(tmp_path / "ix")
+    Index.build(spark.createDataFrame(DOCS, "doc_id bigint, text string")).write(path)
+    ix = Index.read(spark, path)
+    slots = retrieval.literal_slots(spark, parse("queen money"))
+    assert "In(term, [money,queen])" in plan(retrieval.matched(ix, slots, ["queen", "money"]))
+    assert "StringStartsWith(term,mon)" in plan(retrieval.matched(ix, slots, within=wildcard.scan_filter(["mon*", "queen"])))
+    assert wildcard.scan_filter(["*y", "queen"]) is None
+    assert "In(term, [money,queen])" in plan(ix.terms.where(F.col("term").isin("queen", "money")))
+    assert "In(kgram, [" in plan(spelling.overlaps(spark, ix.kgrams(), ["quen"]))
+    assert "Exchange rangepartitioning" in plan(Index.build(spark.createDataFrame(DOCS, "doc_id bigint, text string")).token_rows.repartitionByRange("term", "doc_id"))
+    assert Searcher.query_length("the queen") == 2
