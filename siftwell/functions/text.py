@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Runs of letters and digits; with KEPT each punctuation sign is a token too. RAW is a chunk before punctuation is split off.
 STANDARD = r"[\p{L}0-9]+"
@@ -17,10 +16,14 @@ KEPT = r"[\p{L}0-9]+|[!-/:-@\[-`{-~]"
 RAW = r"[\p{L}!-~]+"
 
 
+# Letters from U+00C0 to U+017E that Unicode doesn't decompose, and the letters they are read as.
+_STROKES = dict(zip("ÆÐØÞßæðøþĐđĦħıĲĳĸĿŀŁłŉŊŋŒœŦŧ", "EDOTSedotDdHhiIikLlLlnNnOoTt", strict=True))
+
+
 @cache
 def accent_map() -> tuple[str, str]:
     """The accented Latin letters from U+00C0 to U+017E and the letters they stand on."""
-    pairs = [(chr(cp), unicodedata.normalize("NFD", chr(cp))[0]) for cp in range(0xC0, 0x17F)]
+    pairs = [(c, _STROKES.get(c, unicodedata.normalize("NFD", c)[0])) for c in map(chr, range(0xC0, 0x17F))]
     pairs = [(a, b) for a, b in pairs if a != b]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
@@ -31,8 +34,8 @@ def without_accents(text: Column) -> Column:
 
 def tokens(text: Column, case_folding: bool = True, accents: bool = True, punctuation: bool = False) -> Column:
     """The tokens of a text as an array; null text has none. accents=False removes them, punctuation=True keeps it."""
-    text = F.lower(text) if case_folding else text
     text = text if accents else without_accents(text)
+    text = F.lower(text) if case_folding else text
     found = F.regexp_extract_all(text, F.lit(KEPT if punctuation else STANDARD), F.lit(0))
     return F.coalesce(found, F.array().cast("array<string>"))
 
@@ -51,39 +54,45 @@ def read_patterns(lines: list[str]) -> list[str]:
     return found
 
 
-def pattern_splitter(patterns: list[str], case_folding: bool = True, punctuation: bool = False):
-    """text -> tokens, where non-standard words that a pattern finds stay whole.
-
-    A chunk goes to the first pattern, in order, that occurs in it: what stands before is split as standard text, the match
-    is one token, and what follows is treated as a chunk of its own.
-    """
-    compiled = [re.compile(p, re.ASCII) for p in patterns]
-    chunk = re.compile(r"(?:[^\W\d_]|[!-~])+")
-    plain = re.compile(r"(?:[^\W\d_]|[0-9])+" + (r"|[!-/:-@\[-`{-~]" if punctuation else ""))
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
-    def split(text: str | None) -> list[str]:
-        out: list[str] = []
-        for rest in chunk.findall((text or "").lower() if case_folding else text or ""):
-            while rest:
-                hit = next((m for p in compiled if (m := p.search(rest)) and m.group()), None)
-                if not hit:
-                    out += plain.findall(rest)
-                    break
-                out += [*plain.findall(rest[: hit.start()]), hit.group()]
-                rest = rest[hit.end() :]
-        return out
 
-    return split
+def pattern_tokens(patterns: list[str], case_folding: bool = True, punctuation: bool = False) -> Callable[[Column], Column]:
+    """A column function like tokens() that keeps non-standard words whole where a pattern finds them.
 
-
-def pattern_tokens(patterns: list[str], case_folding: bool = True, punctuation: bool = False):
-    """A column function like tokens() that keeps what patterns find whole; look-around needs Python, batches go by Arrow."""
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(texts: pd.Series) -> pd.Series:
-        from siftwell.functions.text import pattern_splitter as splitter
-
-        return texts.map(splitter(patterns, case_folding, punctuation))
+    A chunk goes to the first pattern, in order, that occurs in it: what stands before is split as standard text, the match
+    is one token, and what follows is treated as a chunk of its own. Patterns are the JVM's, look-around included; one that
+    refers back to its own groups by number is an error, an empty match is none. Chunks without any match are split at once.
+    """
+    if any(re.search(r"\\[1-9]", p) for p in patterns):
+        raise ValueError("patterns can't refer back to groups by number")
+    plain = lambda s: F.regexp_extract_all(s, F.lit(KEPT if punctuation else STANDARD), F.lit(0))
+    some = "|".join(f"(?:{p})" for p in patterns)
+
+    def hit(rest: Column) -> Column:
+        """(before, found) of the first pattern that occurs, or null."""
+        found = [F.regexp_substr(rest, F.lit(p)) for p in patterns]
+        return F.coalesce(*[F.when(F.length(f) > 0, F.struct(F.regexp_extract(rest, f"(?s)^(.*?)(?={p})", 1).alias("before"), f.alias("found"))) for f, p in zip(found, patterns, strict=True)])
+
+    def step(state: Column) -> Column:
+        none = F.struct(F.concat(state["out"], plain(state["rest"])).alias("out"), F.lit("").alias("rest"))
+        more = lambda h: F.when(h.isNull(), none).otherwise(
+            F.struct(F.concat(state["out"], plain(h["before"]), F.array(h["found"])).alias("out"), F.substr(state["rest"], F.length(h["before"]) + F.length(h["found"]) + 1).alias("rest"))
+        )
+        return F.when(state["rest"] == "", state).otherwise(_let(hit(state["rest"]), more))
+
+    def split(chunk: Column) -> Column:
+        start = F.struct(F.array().cast("array<string>").alias("out"), chunk.alias("rest"))
+        steps = F.sequence(F.lit(0), F.regexp_count(chunk, F.lit(some)) + F.length(chunk))  # each but the last takes a character
+        return F.when(chunk.rlike(some), F.aggregate(steps, start, lambda state, _: step(state), lambda state: state["out"])).otherwise(plain(chunk))
+
+    def run(text: Column) -> Column:
+        text = F.lower(text) if case_folding else text
+        chunks = F.regexp_extract_all(text, F.lit(RAW), F.lit(0))
+        each = F.transform(chunks, split) if patterns else F.transform(chunks, plain)
+        return F.coalesce(F.flatten(each), F.array().cast("array<string>"))
 
     return run
 

@@ -11,7 +11,7 @@ from siftwell.operators.graph import clean_edges
 from siftwell.operators.index import Index, append, compact, dense_ids, document_frequency, token_table
 from siftwell.plans.records import node_id, table
 from siftwell.plans.search import Searcher, parse
-from siftwell.session import exists, scratch_dir, ship_package
+from siftwell.session import exists, scratch_dir
 from siftwell.streaming.ingest import document_stream, index_stream, read_stream_index
 
 QUERY = "library harbour ferry"
@@ -20,8 +20,8 @@ WILD_QUERY = "libr*y th* harbour"
 WILD_PHRASE = "the n*ght ferry"
 MISSPELT = ["librery", "tickts"]
 
-#: Patterns of non-standard words: addresses, mail, numbers with points, dates, prices, words with a hyphen.
-PATTERNS = [r"https?://\S+", r"[\w.]+@(?:\w+\.)+\w{2,}", r"\d{4}-\d\d-\d\d", r"\d+(?:[.,]\d+)+", r"\$\d+", r"\w+-\w+"]
+#: Words of other kinds that stand in these documents, chosen for them: web addresses, mail, days, times, amounts, numbers in groups, joined words.
+PATTERNS = [r"https?://[^\s<>|]+", r"[a-z0-9._-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)+", r"[0-9]{4}-[0-9]{2}-[0-9]{2}", r"[0-9]{1,2}:[0-9]{2}", r"[$][0-9][0-9.,]*[0-9]", r"[0-9]+(?:[.,][0-9]+)+", r"\p{L}+(?:[-'/]\p{L}+)+"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,6 @@ def _tokens(**how):
 
 
 def tok_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
     return token_table(documents(spark, sf_dir), words=T.pattern_tokens(PATTERNS)(F.col("text")))
 
 
@@ -223,7 +222,25 @@ vocab AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 n AS (SELECT count(*) AS n FROM documents)"""
 )
 
-_ACCENTS = "translate(lower(text), '{}', '{}')".format(*T.accent_map())
+# The accented letters in the order of Unicode, and the letters they are read as.
+_ACCENTED = "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿĀāĂăĄąĆćĈĉĊċČčĎďĐđĒēĔĕĖėĘęĚěĜĝĞğĠġĢģĤĥĦħĨĩĪīĬĭĮįİıĲĳĴĵĶķĸĹĺĻļĽľĿŀŁłŃńŅņŇňŉŊŋŌōŎŏŐőŒœŔŕŖŗŘřŚśŜŝŞşŠšŢţŤťŦŧŨũŪūŬŭŮůŰűŲųŴŵŶŷŸŹźŻżŽž"
+_PLAIN = "AAAAAAECEEEEIIIIDNOOOOOOUUUUYTSaaaaaaeceeeeiiiidnoooooouuuuytyAaAaAaCcCcCcCcDdDdEeEeEeEeEeGgGgGgGgHhHhIiIiIiIiIiIiJjKkkLlLlLlLlLlNnNnNnnNnOoOoOoOoRrRrRrSsSsSsSsTtTtTtUuUuUuUuUuUuWwYyYZzZzZz"
+_ACCENTS = f"lower(translate(text, '{_ACCENTED}', '{_PLAIN}'))"
+
+
+def _patterns_sql() -> str:
+    """Chunk by chunk: the first pattern that occurs, what stands before it, and on with the rest."""
+    quoted = [p.replace("'", "''") for p in PATTERNS]
+    which = "CASE " + " ".join(f"WHEN regexp_extract(rest, '{p}') <> '' THEN {i}" for i, p in enumerate(quoted)) + " END"
+    found = "CASE k " + " ".join(f"WHEN {i} THEN regexp_extract(rest, '{p}')" for i, p in enumerate(quoted)) + " END"
+    before = "CASE k " + " ".join(f"WHEN {i} THEN regexp_extract(rest, '(?s)^(.*?)(?:{p})', 1)" for i, p in enumerate(quoted)) + " END"
+    return f"""
+WITH RECURSIVE chunks AS (SELECT doc_id, unnest(c) AS chunk, unnest(range(len(c))) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}!-~]+') AS c FROM documents WHERE text IS NOT NULL)),
+steps AS (SELECT doc_id, i, CAST([] AS VARCHAR[]) AS words, chunk AS rest FROM chunks
+  UNION ALL SELECT doc_id, i, list_concat(words, regexp_extract_all(coalesce(b, rest), '{T.STANDARD}'), CASE WHEN h IS NULL THEN [] ELSE [h] END), CASE WHEN h IS NULL THEN '' ELSE substr(rest, len(b) + len(h) + 1) END
+  FROM (SELECT *, {found} AS h, {before} AS b FROM (SELECT *, {which} AS k FROM steps WHERE rest <> ''))),
+whole AS (SELECT doc_id, flatten(list(words ORDER BY i)) AS w FROM steps WHERE rest = '' GROUP BY doc_id)
+SELECT doc_id, unnest(w) AS term, CAST(unnest(range(len(w))) AS INTEGER) AS pos FROM whole"""
 
 
 def _slots(terms: list[tuple[int, str, float]]) -> str:
@@ -304,6 +321,7 @@ SQL = {
     "tok_case": _tok("text") + " SELECT doc_id, pos, term FROM tokens",
     "tok_keep_punct": _tok(pattern=T.KEPT) + " SELECT doc_id, pos, term FROM tokens",
     "tok_accents": _tok(_ACCENTS) + " SELECT doc_id, pos, term FROM tokens",
+    "tok_patterns": _patterns_sql(),
     "idx_postings": _ALL_POSTINGS,
     "idx_parquet": _ALL_POSTINGS,
     "idx_incremental": _ALL_POSTINGS,

@@ -1,3 +1,6 @@
+import re
+
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -21,21 +24,48 @@ def test_tokens(spark):
     assert column(spark, TEXTS, T.tokens(F.col("t"), accents=False, case_folding=False))[5] == ["Zena", "er", "no", "break", "here"]
 
 
+def test_accents(spark):
+    got = column(spark, ["Smørrebrød ÆRLIG Straße Þór ÐÐ Łódź İı Ÿ žĳ"], T.tokens(F.col("t"), accents=False))
+    assert got == [["smorrebrod", "erlig", "strase", "tor", "dd", "lodz", "ii", "y", "zi"]]
+    assert column(spark, ["ß Ø"], T.tokens(F.col("t"), case_folding=False, accents=False)) == [["S", "O"]]
+
+
 def test_positions(spark):
     df = spark.createDataFrame([(1, "b a b", 5), (2, None, 5)], "doc_id bigint, text string, pos int")
     assert sorted(map(tuple, token_table(df).collect())) == [(1, 0, "b"), (1, 1, "a"), (1, 2, "b")]
 
 
-PATTERNS = ["// comment", "", r"https?:\/\/.*", r"[\w\.]+\@(\w+\.)+\w{2,3}", r"(\d{1,3})\.(\d{1,3})", r"\w+\'\w+", r"(?<=\/)[a-z]+", "([", r"\d+"]
+# Words of invented kinds: order numbers, cell references, tags, what follows a colon, quantities.
+PATTERNS = ["// what an order form holds", "", r"no\d+(?:/\d+)?", r"[a-z]\d+:[a-z]\d+", r"#[a-z]+", r"(?<=:)[a-z]+", "([", r"\d+kg"]
+
+
+def split(text, patterns, punctuation=False):
+    """By brute force, for one text."""
+    compiled = [re.compile(p, re.ASCII) for p in patterns]
+    plain = re.compile(r"(?:[^\W\d_]|[0-9])+" + (r"|[!-/:-@\[-`{-~]" if punctuation else ""))
+    out = []
+    for rest in re.findall(r"(?:[^\W\d_]|[!-~])+", (text or "").lower()):
+        while rest:
+            hit = next((m for p in compiled if (m := p.search(rest)) and m.group()), None)
+            if not hit:
+                out += plain.findall(rest)
+                break
+            out += [*plain.findall(rest[: hit.start()]), hit.group()]
+            rest = rest[hit.end() :]
+    return out
 
 
 def test_patterns(spark):
     read = T.read_patterns(PATTERNS)
-    assert len(read) == 5  # the malformed one ends the list
-    split = T.pattern_splitter(read)
-    assert split("See http://a.b/c, mail me.you@x.org; don't pay 12.50 (and/or 7)") == ["see", "http://a.b/c,", "mail", "me.you@x.org", "don't", "pay", "12.50", "and", "or", "7"]
-    assert split(None) == split("") == []
-    assert column(spark, TEXTS[:4], T.pattern_tokens(read)(F.col("t")))[2:] == [["ünïcode", "œuvre", "don't"], ["a", "a", "b", "c", "3.14"]]
+    assert len(read) == 4  # the malformed one ends the list
+    texts = ["Send no12/7,no3 in A1:B22;#red-#blue colour:green :gold", "x#a#b##c:d:e no", "no1no2no3", "𝐀#tag:end", "", None, *TEXTS[2:4]]
+    got = column(spark, texts, T.pattern_tokens(read)(F.col("t")))
+    assert got[0] == ["send", "no12/7", "no3", "in", "a1:b22", "#red", "#blue", "colour", "green", "gold"]
+    assert got[1:] == [split(t, read) for t in texts[1:]]
+    assert column(spark, texts, T.pattern_tokens(read, punctuation=True)(F.col("t"))) == [split(t, read, True) for t in texts]
+    assert column(spark, TEXTS, T.pattern_tokens([])(F.col("t"))) == column(spark, TEXTS, T.tokens(F.col("t")))
+    with pytest.raises(ValueError, match="refer back"):
+        T.pattern_tokens([r"(a)\1"])
 
 
 def test_kgrams(spark):
