@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siftwell.plans import graph_queries, records, text_queries
+from siftwell.plans import file_queries, graph_queries, records, text_queries
 
-_MODULES = [records, text_queries, graph_queries]
+_MODULES = [records, text_queries, graph_queries, file_queries]
 FLAGSHIP = text_queries.QUERIES["ret_tfidf"]
 
 

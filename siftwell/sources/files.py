@@ -103,6 +103,16 @@ def write_pageranks(ranks: DataFrame, titles: DataFrame, path: str) -> None:
     write_lines(named, path, "title", "rank")
 
 
+def write_doc_info(docs: DataFrame, path: str) -> None:
+    """'id;name;length' of (doc_id, name, length); a null length is left empty."""
+    write_lines(docs, path, "doc_id", "name", F.coalesce(F.col("length").cast("string"), F.lit("")))
+
+
+def write_token_index(terms: DataFrame, path: str) -> None:
+    """'token id' of (token, token_id)."""
+    write_lines(terms, path, "token", "token_id", sep=" ")
+
+
 def write_goodness(rows: DataFrame, path: str) -> None:
     """'n,value' of a series."""
     write_lines(rows, path, "n", "value", sep=",")
