@@ -13,7 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.session import shuffle_width
+from siftwell.operators.index import dense_ids
+from siftwell.operators.skew import checked_broadcast_join
+from siftwell.session import cut_lineage
 
 #: Consecutive integer keys that share a bucket; runs are built and searched within a bucket.
 BUCKET_KEYS = 4096
@@ -50,6 +52,22 @@ class Parents:
     deleted: str
 
 
+def numbered(refs: References, parents: Parents) -> tuple[References, Parents]:
+    """refs and parents with the parents' text keys numbered 0, 1, 2... in their order, so that keys have neighbours and runs hold many.
+
+    Keys compare as they are spelt. A reference whose key no parent has gets no number and stays an orphan; a null key stays
+    null. Keys are numbered in ranges, and hot keys are spread in the joins that put the numbers to the rows.
+    """
+    rows = parents.rows.select(_col(parents.key).alias("name"), _col(parents.added).alias("added"), _col(parents.deleted).alias("deleted"))
+    numbers = dense_ids(rows.select("name").dropna().distinct(), "name", "number").select("name", F.col("number").cast("string").alias("number"))
+    numbers = cut_lineage(numbers)
+    lives = checked_broadcast_join(rows, numbers, ["name"])
+    points = refs.rows.select(_col(refs.key).alias("name"), _col(refs.row_id).alias("row_id"), _col(refs.time).alias("time"))
+    points = checked_broadcast_join(points, numbers, ["name"], "left")
+    key = F.coalesce("number", F.concat(F.lit("?"), F.col("name")))
+    return References(refs.table, points, "row_id", key, "time", refs.parents), Parents(parents.name, lives, "number", "added", "deleted")
+
+
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.operators.hotkeys import exact_quantiles, heavy_sources, links_by_source
-from siftwell.operators.orphans import Parents, References, orphan_references, orphan_report
+from siftwell.operators.orphans import Parents, References, numbered, orphan_references, orphan_report
 
 #: Targets in one row of a link list.
 LINK_CAPACITY = 1000
@@ -30,11 +30,10 @@ def base_name(c: str) -> Column:
 
 def _references(spark: SparkSession, sf_dir: str) -> tuple[list[References], list[Parents]]:
     titles = table(spark, sf_dir, "page_titles")
-    refs = [
-        References("link_edges", table(spark, sf_dir, "link_edges"), "edge_id", "dst", "seen_at", "node"),
-        References("qrels", table(spark, sf_dir, "qrels"), "judgement_id", base_name("doc_name"), "judged_at", "title"),
-    ]
-    return refs, [Parents("node", titles, "node_id", "added_at", "deleted_at"), Parents("title", titles, "title", "added_at", "deleted_at")]
+    links = References("link_edges", table(spark, sf_dir, "link_edges"), "edge_id", "dst", "seen_at", "node")
+    judged = References("qrels", table(spark, sf_dir, "qrels"), "judgement_id", base_name("doc_name"), "judged_at", "title")
+    judged, named = numbered(judged, Parents("title", titles, "title", "added_at", "deleted_at"))
+    return [links, judged], [Parents("node", titles, "node_id", "added_at", "deleted_at"), named]
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,8 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from siftwell.operators import orphans
-from siftwell.operators.orphans import Parents, References, orphan_references, orphan_report, parent_runs
+from siftwell.operators import orphans, skew
+from siftwell.operators.orphans import Parents, References, numbered, orphan_references, orphan_report, parent_runs
 
 DAY = lambda m, d=1: datetime(2020, m, d)
 PARENT = "key string, a timestamp_ntz, z timestamp_ntz, bucket int"
@@ -68,3 +68,25 @@ def test_report(spark):
     assert sum(r.n_orphans for r in rows) == len(brute(CHILDREN, PARENTS))
     assert sum(r.n_refs for r in rows) == sum(c[1] is not None for c in CHILDREN)
     assert found.where(F.col("period") == "unknown").count() == next(r.n_orphans for r in rows if r.period == "unknown")
+
+
+@pytest.mark.parametrize("bound", [500_000, 0])
+def test_numbered_text_keys(spark, monkeypatch, bound):
+    """Text keys as they are spelt: digits and blanks too. Keys that are there at some time are one run."""
+    monkeypatch.setattr(skew.checked_broadcast_join, "__defaults__", ("inner", bound, None))
+    monkeypatch.setattr(skew, "HOT_ROWS", 20)
+    names = ["Ås", "ås", "12", "0012", "", " x", "x", "n" * 5000]
+    parents = [(n, None if i % 2 else DAY(2), None if i % 3 else DAY(5), 0) for i, n in enumerate(names)] + [("Ås", DAY(6), None, 0), (None, None, None, 0)]
+    children = [(i, k, t, "", "") for i, (k, t) in enumerate((k, t) for k in [*names, "missing", "?12", "1", None] for t in (None, DAY(1), DAY(3), DAY(5), DAY(7)))]
+    children += [(1000 + i, "ås", DAY(7), "", "") for i in range(100)]
+    refs, lives = numbered(References("child", spark.createDataFrame(children, CHILD), "id", "key", "t", "p"), Parents("p", spark.createDataFrame(parents, PARENT), "key", "a", "z"))
+    got = sorted((r.period, r.row_id) for r in orphan_references([refs], [lives]).collect())
+    want = set()
+    for i, k, t, *_ in children:
+        held = [(a, z) for p, a, z, _ in parents if p == k]
+        if k is not None and not any(t is None or ((a is None or a <= t) and (z is None or z > t)) for a, z in held):
+            want.add((t.strftime("%Y-%m") if t else "unknown", i))
+    assert got == sorted(want)
+    assert parent_runs([lives]).where("dom = 'p#'").count() == 1
+    none = spark.createDataFrame([], PARENT)
+    assert orphan_references(*([x] for x in numbered(References("child", spark.createDataFrame(children[:5], CHILD), "id", "key", "t", "p"), Parents("p", none, "key", "a", "z")))).count() == 5
