@@ -169,24 +169,37 @@ def label_code(label: Column) -> Column:
     return out
 
 
-def train(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = 150, sentences_per_language: int = 400) -> Classifier:
-    """A classifier fitted on a bounded sample: of each language the per_language labelled documents with the least hash of
-    their id, and of their sentences (whole texts are read) sentences_per_language."""
+def _sentence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(code, h, id, place, sentence) of (code, h, id, text)."""
+    for batch in batches:
+        found = [sentences(t) for t in batch.column(3).to_pylist()]
+        at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+        columns = [batch.column(i).take(at) for i in range(3)] + [pa.array([i for f in found for i in range(len(f))], pa.int32()), pa.array([x for f in found for x in f], pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["code", "h", "id", "place", "sentence"])
+
+
+def training_sentences(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = 150, sentences_per_language: int = 400) -> DataFrame:
+    """(code, h, id, place, sentence), a bounded sample: of each language the per_language labelled documents with the least hash of
+    their id, and of their sentences (whole texts are read) sentences_per_language, the first of each document before any
+    second."""
+    ship_package(documents.sparkSession)
     code, h = label_code(F.col(label)).alias("code"), F.xxhash64(F.col(doc_id).cast("string")).alias("h")
     first = Window.partitionBy("code")
     least = documents.select(code, h).where(F.col("code").isNotNull()).withColumn("r", F.row_number().over(first.orderBy("h")))
     limits = F.broadcast(least.where(F.col("r") <= per_language).groupBy("code").agg(F.max("h").alias("limit")))  # 7 rows
     rows = documents.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text"), code, h).join(limits, "code").where(F.col("h") <= F.col("limit"))
     rows = rows.withColumn("r", F.row_number().over(first.orderBy("h", "id", "text")))
-    picked = rows.where((F.col("r") <= per_language) & F.col("text").isNotNull()).collect()  # at most 7 * per_language rows
-    texts: list[str] = []
-    labels: list[int] = []
-    for c, code in enumerate(CODES):
-        mine = [sentences(r["text"]) for r in sorted(picked, key=lambda r: (r["h"], r["id"], r["text"])) if r["code"] == code]
-        spread = [s[i] for i in range(max(map(len, mine), default=0)) for s in mine if i < len(s)][:sentences_per_language]
-        texts += spread
-        labels += [c] * len(spread)
-    return fit(texts, labels)
+    picked = rows.where((F.col("r") <= per_language) & F.col("text").isNotNull()).select("code", "h", "id", "text")
+    found = picked.mapInArrow(_sentence_rows, "code string, h bigint, id string, place int, sentence string")
+    found = found.withColumn("r", F.row_number().over(first.orderBy("place", "h", "id", "sentence")))
+    return found.where(F.col("r") <= sentences_per_language).drop("r")
+
+
+def train(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = 150, sentences_per_language: int = 400) -> Classifier:
+    """A classifier fitted on training_sentences, the only rows that reach the driver."""
+    picked = training_sentences(documents, doc_id, text, label, per_language, sentences_per_language).collect()  # at most 7 * sentences_per_language rows
+    picked.sort(key=lambda r: (CODES.index(r["code"]), r["place"], r["h"], r["id"], r["sentence"]))
+    return fit([r["sentence"] for r in picked], [CODES.index(r["code"]) for r in picked])
 
 
 #: A change of language within a document costs as much as this log-probability; so an unsure sentence goes with its neighbours.

@@ -14,6 +14,8 @@ from siftwell.session import cut_lineage
 VOCABULARY = os.environ.get("SIFTWELL_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 CAPACITY = 2048
 BEST = 10
+#: Share of the containers' space that is used at least, and of documents in one language whose label agrees.
+LEAST_FILL, LEAST_AGREED = 0.9, 0.9
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,6 +109,18 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), CAPACITY, VOCABULARY, PATTERN)
 
 
+def p7_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of p7_containers, one row: every document is there once, piece by piece without a gap; containers above the
+    capacity and documents cut without need, of which there are none; and whether LEAST_FILL of the containers' space is used."""
+    held = cut_lineage(p7_containers(spark, sf_dir))
+    docs = held.groupBy("doc_id").agg(F.sum("tokens").alias("n"), F.count(F.lit(1)).alias("pieces"), F.count_distinct("piece").alias("places"), F.max(F.col("start") + F.col("tokens")).alias("end"))
+    whole = F.col("pieces") == F.greatest(F.lit(1), F.ceil(F.col("n") / CAPACITY))
+    docs = docs.agg(F.count(F.lit(1)).alias("documents"), F.count_if(~whole).alias("cut"), F.count_if((F.col("pieces") != F.col("places")) | (F.col("n") != F.col("end"))).alias("torn"))
+    full = held.groupBy("container").agg(F.sum("tokens").alias("n"))
+    full = full.agg(F.count_if(F.col("n") > CAPACITY).alias("over"), (F.sum("n") >= LEAST_FILL * CAPACITY * F.count_if(F.col("n") > 0)).alias("filled"))
+    return docs.join(F.broadcast(full))  # one row each
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
 
@@ -158,6 +172,18 @@ def p9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.held_languages(_passages(spark, sf_dir))
 
 
+def p9_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of p9_passages, one row: every document is there, its passages cover its sentences one after the other, and
+    confidences lie between 0 and 1; and whether LEAST_AGREED of the documents in one language whose label names one of the languages agree."""
+    parts = cut_lineage(_passages(spark, sf_dir))
+    docs = parts.groupBy("doc_id").agg(F.sum("sentences").alias("n"), F.max("of").alias("of"), F.max(F.col("first") + F.col("sentences")).alias("end"), F.count_distinct("first").alias("firsts"), F.count(F.lit(1)).alias("rows"))
+    sure = parts.agg(F.count_if((F.col("sentences") > 0) & ~F.coalesce(F.col("confidence").between(0, 1), F.lit(False))).alias("unsure"))
+    docs = docs.agg(F.count(F.lit(1)).alias("documents"), F.count_if((F.col("n") != F.col("of")) | (F.col("end") != F.col("of")) | (F.col("firsts") != F.col("rows"))).alias("gaps"))
+    one = languages.held_languages(parts).groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("n"), F.min("lang").alias("lang")).where("n = 1 AND label IS NOT NULL")
+    agreed = one.agg((F.count_if(F.col("lang") == F.col("label")) >= LEAST_AGREED * F.count(F.lit(1))).alias("agreed"))
+    return docs.join(F.broadcast(sure)).join(F.broadcast(agreed))  # one row each
+
+
 def _sql_text(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -233,7 +259,7 @@ _WINDOWS = "SELECT {i} AS id, array_to_string(w[p : p + 9], ' ') AS words FROM (
 QUERIES = {
     "p3_found": p3_found, "p3_scores": p3_scores, "p4_found": p4_found, "p4_frequencies": p4_frequencies, "p4_containers": p4_containers,
     "p5_found": p5_found, "p5_lines": p5_lines, "p5_classes": p5_classes, "p5_passages": p5_passages, "p6_found": p6_found, "p6_ranking": p6_ranking,
-    "p7_containers": p7_containers, "p8_found": p8_found, "p8_near": p8_near, "p8_recall": p8_recall, "p9_found": p9_found, "p9_passages": p9_passages, "p9_documents": p9_documents,
+    "p7_containers": p7_containers, "p7_checked": p7_checked, "p8_found": p8_found, "p8_near": p8_near, "p8_recall": p8_recall, "p9_found": p9_found, "p9_passages": p9_passages, "p9_documents": p9_documents, "p9_checked": p9_checked,
 }
 
 SQL = {
@@ -253,6 +279,8 @@ SELECT line_id, md5(canonical) AS class_id, links FROM n JOIN c USING (line_id)
     "p5_passages": _sql_unified("SELECT doc_id, passage, text FROM (SELECT doc_id, unnest(w) AS text, CAST(unnest(range(len(w))) AS INTEGER) AS passage FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS w FROM documents)) WHERE len(text) > 0", "doc_id, passage"),
     "p6_found": _RANKING + " SELECT query_id, doc_id FROM ranked WHERE position <= 10",
     "p6_ranking": _RANKING + " SELECT query_id, doc_id, round(rho, 9) AS rho, round(mean_place, 9) AS mean_place FROM ranked",
+    "p7_checked": "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS cut, CAST(0 AS BIGINT) AS torn, CAST(0 AS BIGINT) AS over, true AS filled FROM documents",
+    "p9_checked": "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS gaps, CAST(0 AS BIGINT) AS unsure, true AS agreed FROM documents",
     "p8_found": f"WITH d AS ({_WINDOWS.format(i='doc_id', look=_sql_look('text'), t='documents')}), i AS ({_WINDOWS.format(i='item_id', look=_sql_look('text'), t='eval_items')}) SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM d JOIN i USING (words)",
     "p8_recall": "SELECT kind, count(*) AS planted, true AS reached FROM eval_items, (VALUES ('changed'), ('left out'), ('added')) AS k(kind) WHERE len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) >= 17 GROUP BY kind",
 }
