@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from siftwell.operators.skew import checked_broadcast_join
 from siftwell.session import cut_lineage, cut_lineage_in_place, shuffle_width
 
 BORED = 0.15
@@ -116,8 +117,8 @@ def pagerank(edges: DataFrame, iterations: int = 50, tolerance: float | None = N
 def base_set(edges: DataFrame, root: DataFrame) -> DataFrame:
     """(node): the root nodes, what they link to and what links to them."""
     root = root.select("node").distinct()
-    ahead = edges.join(root.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node"))
-    behind = edges.join(root.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("node"))
+    ahead = checked_broadcast_join(edges, root.withColumnRenamed("node", "src"), ["src"], "left_semi").select(F.col("dst").alias("node"))
+    behind = checked_broadcast_join(edges, root.withColumnRenamed("node", "dst"), ["dst"], "left_semi").select(F.col("src").alias("node"))
     return root.unionAll(ahead).unionAll(behind).distinct()
 
 
@@ -129,10 +130,13 @@ def hits(edges: DataFrame, base: DataFrame | None = None, iterations: int = 5, t
     base node's links to and from any node, the later ones those within what the step before scored. A node without a
     score has 0. With a tolerance the loop ends once both changes add up to no more.
     """
-    base = nodes(edges) if base is None else base.select("node").distinct()
-    base = cut_lineage(base)
-    ahead = cut_lineage(edges.join(base.withColumnRenamed("node", "src"), "src", "left_semi"))
-    behind = cut_lineage(edges.join(base.withColumnRenamed("node", "dst"), "dst", "left_semi"))
+    if base is None:
+        ahead = behind = edges = cut_lineage(edges.select("src", "dst"))
+        base = cut_lineage(nodes(edges))
+    else:
+        base = cut_lineage(base.select("node").distinct())
+        ahead = cut_lineage(checked_broadcast_join(edges, base.withColumnRenamed("node", "src"), ["src"], "left_semi"))
+        behind = cut_lineage(checked_broadcast_join(edges, base.withColumnRenamed("node", "dst"), ["dst"], "left_semi"))
     scores = None
     to_hubs, to_authorities = (PlacedLinks.by(ahead, "dst"), PlacedLinks.by(behind, "src")) if iterations > 1 else (None, None)
     for _ in range(iterations):
@@ -164,7 +168,8 @@ def hits_ranking(edges: DataFrame, titles: DataFrame, docs: DataFrame, rows: Dat
     document don't come out. score is the greater of hub and authority; compat gives 0 where they are equal.
     """
     titles, docs = titles.select("node", "title").distinct(), docs.select("doc_id", "title")
-    root = rows.select("doc_id").distinct().join(docs, "doc_id").join(titles, "title").select("node")
+    root = cut_lineage(rows.select("doc_id").distinct().join(docs, "doc_id").join(titles, "title").select("node").distinct())
+    edges = cut_lineage(edges)
     scores = hits(edges, base_set(edges, root), iterations)
     best = F.greatest("hub", "authority")
     best = F.when(F.col("hub") == F.col("authority"), 0.0).otherwise(best) if compat else best

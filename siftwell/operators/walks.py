@@ -86,9 +86,11 @@ class Graph:
     ends: np.ndarray
 
     @classmethod
-    def read(cls, path: str) -> Graph:
-        edges, more = _load(f"{path}/edges"), _load(f"{path}/nodes")
-        names = pc.unique(pa.chunked_array([c for t, k in ((edges, "src"), (edges, "dst"), (more, "node")) for c in t[k].chunks], edges["src"].type))
+    def read(cls, path: str, lone: bool) -> Graph:
+        """From links and, if there are lone nodes, nodes below path."""
+        edges = _load(f"{path}/edges")
+        ends = [*edges["src"].chunks, *edges["dst"].chunks, *(_load(f"{path}/nodes")["node"].chunks if lone else [])]
+        names = pc.unique(pa.chunked_array(ends, edges["src"].type))
         names = names.take(pc.array_sort_indices(names))
         src, dst = (pc.index_in(edges[c], names).to_numpy() for c in ("src", "dst"))
         order = np.lexsort((dst, src))
@@ -112,24 +114,21 @@ class Graph:
 
 
 @lru_cache(maxsize=1)
-def _graph(path: str) -> Graph:
+def _graph(path: str, lone: bool) -> Graph:
     """Workers run several tasks one after the other; the last graph stays."""
-    return Graph.read(path)
+    return Graph.read(path, lone)
 
 
-def _walk_local(edges: DataFrame, more: DataFrame, numbers: list[int], how: Method, bored: float, seed: int) -> DataFrame:
+def _walk_local(edges: DataFrame, path: str, lone: bool, numbers: list[int], how: Method, bored: float, seed: int) -> DataFrame:
     """(part, node, n) from tasks that hold the whole graph; nodes never visited have a row of 0."""
     spark = edges.sparkSession
     ship_package(spark)
-    path = scratch_dir(spark)
-    edges.write.parquet(f"{path}/edges")
-    more.write.parquet(f"{path}/nodes")
     chunks = max(1, -(-numbers[-1] // LOCAL_WALKS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in batch.column(0).to_pylist():
-                graph, limits = _graph(path), np.array(numbers)
+                graph, limits = _graph(path, lone), np.array(numbers)
                 n = len(graph.names)
                 counts = np.zeros(len(numbers) * n, np.int64)
                 for walks, at in graph.visits(np.arange(chunk * LOCAL_WALKS, min(numbers[-1], (chunk + 1) * LOCAL_WALKS)), how, bored, seed):
@@ -192,7 +191,13 @@ def walk_series(edges: DataFrame, numbers: list[int] | Callable[[int], list[int]
     if not 0 < bored <= 1:
         raise ValueError("a surfer who is never bored walks for ever")
     how = METHODS[method]
-    edges = cut_lineage(edges.select("src", "dst"))
+    spark = edges.sparkSession
+    path = scratch_dir(spark)
+    edges.select("src", "dst").write.parquet(f"{path}/edges")
+    edges = spark.read.parquet(f"{path}/edges")
+    if vertices is not None:
+        vertices.select(F.col("node").cast(edges.schema["src"].dataType)).dropna().write.parquet(f"{path}/nodes")
+        vertices = spark.read.parquet(f"{path}/nodes")
     graph = nodes(edges, vertices)
     n = graph.count()
     numbers = sorted(set(numbers(n) if callable(numbers) else numbers))
@@ -201,9 +206,9 @@ def walk_series(edges: DataFrame, numbers: list[int] | Callable[[int], list[int]
     if how.cyclic and numbers[0] < n:
         raise ValueError(f"{numbers[0]} walks can't begin at each of {n} nodes")
     ends = [x // n * n if how.cyclic else x for x in numbers]
-    more = (vertices.select("node") if vertices is not None else graph.where("false")).select(F.col("node").cast(edges.schema["src"].dataType)).dropna()
-    small = n <= local_links and edges.limit(local_links + 1).count() <= local_links
-    seen = cut_lineage(_walk_local(edges, more, ends, how, bored, seed) if small else _walk_steps(edges, cut_lineage(graph), ends, n, how, bored, seed))
+    small = n <= local_links and edges.count() <= local_links
+    seen = _walk_local(edges, path, vertices is not None, ends, how, bored, seed) if small else _walk_steps(edges, cut_lineage(graph), ends, n, how, bored, seed)
+    seen = cut_lineage(seen)
     if len(numbers) == 1:
         total = seen.agg(F.sum("n")).first()[0]
         return seen.select(F.lit(numbers[0]).cast("bigint").alias("walks"), "node", (F.col("n") / F.lit(float(max(1, total)))).alias("rank"))
