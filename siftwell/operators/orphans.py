@@ -25,6 +25,9 @@ TEXT_BUCKETS = 1 << 16
 HOT_ROWS = 500_000
 HOT_SHARE = 2000
 
+#: Text keys that are broadcast at most, as they may be long.
+NAMES = 50_000
+
 _BEGIN = "timestamp_ntz'0001-01-01 00:00:00'"
 _LAST_KEY = 9223372036854775807
 
@@ -61,9 +64,9 @@ def numbered(refs: References, parents: Parents) -> tuple[References, Parents]:
     rows = parents.rows.select(_col(parents.key).alias("name"), _col(parents.added).alias("added"), _col(parents.deleted).alias("deleted"))
     numbers = dense_ids(rows.select("name").dropna().distinct(), "name", "number").select("name", F.col("number").cast("string").alias("number"))
     numbers = cut_lineage(numbers)
-    lives = checked_broadcast_join(rows, numbers, ["name"])
+    lives = checked_broadcast_join(rows, numbers, ["name"], bound=NAMES)
     points = refs.rows.select(_col(refs.key).alias("name"), _col(refs.row_id).alias("row_id"), _col(refs.time).alias("time"))
-    points = checked_broadcast_join(points, numbers, ["name"], "left")
+    points = checked_broadcast_join(points, numbers, ["name"], "left", NAMES)
     key = F.coalesce("number", F.concat(F.lit("?"), F.col("name")))
     return References(refs.table, points, "row_id", key, "time", refs.parents), Parents(parents.name, lives, "number", "added", "deleted")
 
