@@ -85,7 +85,7 @@ def pattern_tokens(patterns: list[str], case_folding: bool = True, punctuation:
 
     def split(chunk: Column) -> Column:
         start = F.struct(F.array().cast("array<string>").alias("out"), chunk.alias("rest"))
-        steps = F.sequence(F.lit(0), F.regexp_count(chunk, F.lit(some)) + F.length(chunk))  # each but the last takes a character
+        steps = F.sequence(F.lit(0), F.length(chunk))  # each but the last takes a character
         return F.when(chunk.rlike(some), F.aggregate(steps, start, lambda state, _: step(state), lambda state: state["out"])).otherwise(plain(chunk))
 
     def run(text: Column) -> Column:
