@@ -153,7 +153,8 @@ def _block(text: Column) -> Column:
     """A hash that texts of one class share: of the base letters and digits only. It is computed row by row, where keys of
     the collation would have to be sorted."""
     pairs = _bases()
-    plain = F.translate(_apart(text), "".join(pairs), "".join(pairs.values()))
+    mapped = F.translate(_apart(text), "".join(pairs), "".join(pairs.values()))
+    plain = F.when(F.octet_length(text) == F.length(text), text).otherwise(mapped)  # ASCII letters are their own bases
     return F.xxhash64(F.regexp_replace(plain, "[^\\p{L}\\p{N}]+|[\u1100-\u11ff\uac00-\ud7a3]+", ""))
 
 
