@@ -135,6 +135,21 @@ def test_walks_are_the_same_either_way(spark, edges, monkeypatch, method):
         assert {r.node: r["rank"] for r in one} == {r.node: r["rank"] for r in a if r.walks == n}
 
 
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+@pytest.mark.parametrize("method", [2, 5])
+def test_walks_on_links_in_order(spark, edges, monkeypatch, method, kind):
+    """Beyond RAW_LINKS the workers read links that Spark numbered and sorted; they don't go step by step before LOCAL_LINKS."""
+    links = edges.select(*(F.col(c).cast(kind) for c in ("src", "dst")))
+    lone = spark.createDataFrame([("77",), ("10",)], "node string")
+    want = walks.walk_series(links, [20, 333], method, 0.3, vertices=lone).collect()
+    monkeypatch.setattr(walks, "RAW_LINKS", 3)
+    monkeypatch.setattr(walks, "LOCAL_WALKS", 50)
+    monkeypatch.setattr(walks, "_walk_steps", None)
+    assert walks.Laid.of(links, lone).way == "placed"
+    got = walks.walk_series(links, [20, 333], method, 0.3, vertices=lone).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 2 * 11
+
+
 def test_draws(spark):
     ids = [0, 1, 7, 2**40, 2**62]
     rows = spark.createDataFrame([(i,) for i in ids], "w bigint").select(F.col("w"), walks._uniform(3, 5, F.col("w")).alias("u")).collect()
