@@ -35,7 +35,7 @@ RAW_LINKS = 4_000_000
 LOCAL_WALKS = 1 << 17
 #: Visits that are kept before they are counted, and rows of a batch.
 KEPT_VISITS = 1 << 20
-BATCH_ROWS = 1 << 18
+BATCH_ROWS = 1 << 16
 #: Steps whose visits are added up at once.
 MERGED = 16
 
@@ -148,6 +148,7 @@ class Graph:
                 ends[done : done + len(src)] = b["d"].to_numpy()
                 first[src[0] + 1 : src[-1] + 2] += np.bincount(src - src[0]).astype(np.int32)
                 done += len(src)
+        pa.default_memory_pool().release_unused()
         return cls(names, np.cumsum(first, out=first), ends)
 
     def visits(self, begin: int, end: int, cyclic: bool, paths: tuple[bool, ...], bored: float, seed: int) -> Iterator[tuple[bool, np.ndarray]]:
@@ -294,7 +295,8 @@ def _walk_local(laid: Laid, numbers: list[int], cyclic: bool, paths: tuple[bool,
             yield from rows(graph, counts, part, zeros)
 
     chunks = max(1, int(upto[-1]))
-    width = min(chunks, 4 * spark.sparkContext.defaultParallelism)
+    # A task gives a row for each node that it saw, so as few tasks as keep all CPUs busy; a few rows, where few nodes are wanted.
+    width = min(chunks, (1 if only is None else 4) * spark.sparkContext.defaultParallelism)
     return spark.range(0, chunks, 1, width).mapInArrow(run, f"path boolean, part int, node {kind}, n bigint").groupBy("path", "part", "node").agg(F.sum("n").alias("n"))
 
 
@@ -404,10 +406,16 @@ def sweep(n_nodes: int) -> list[int]:
     return [k * 10**m for m in range(least, least + 3) for k in range(1, 11)]
 
 
-def sweep_goodness(reference: DataFrame, edges: DataFrame, method: int, numbers: Callable[[int], list[int]] = sweep, k: int = 30, **how) -> DataFrame:
-    """(walks, goodness) of a method for each number of walks, over the reference's (node, rank) k greatest ranks. Numbers below that of
-    the nodes are left out where each node begins a walk."""
-    taken = lambda n: [x for x in numbers(n) if x >= n or not METHODS[method].cyclic]
+def goodness_series(reference: DataFrame, laid: Laid, methods: list[int], numbers: Callable[[int], list[int]] = sweep, k: int = 30, **how) -> DataFrame:
+    """(method, walks, goodness) of each method for each number of walks, over the reference's (node, rank) k greatest ranks. Numbers below
+    that of the nodes are left out where each node begins a walk. Only visits of these k nodes are told apart."""
+    taken = lambda n, cyclic: [x for x in numbers(n) if x >= n or not cyclic]
     best = reference.orderBy(F.desc("rank"), "node").limit(k).select("node", F.col("rank").alias("want"))
-    found = walk_series(edges, taken, method, **how).join(F.broadcast(best), "node")  # k rows
-    return found.groupBy("walks").agg(F.sum(F.pow(F.col("want") - F.col("rank"), 2)).alias("goodness"))
+    best = cut_lineage(laid.graph.join(F.broadcast(best), "node"))  # k rows
+    found = method_series(laid, taken, methods, only=[r["node"] for r in best.select("node").collect()], **how).join(F.broadcast(best), "node")
+    return found.groupBy("method", "walks").agg(F.sum(F.pow(F.col("want") - F.col("rank"), 2)).alias("goodness"))
+
+
+def sweep_goodness(reference: DataFrame, edges: DataFrame, method: int, numbers: Callable[[int], list[int]] = sweep, k: int = 30, local_links: int | None = None, vertices: DataFrame | None = None, **how) -> DataFrame:
+    """(walks, goodness): goodness_series of one method."""
+    return goodness_series(reference, Laid.of(edges, vertices, local_links), [method], numbers, k, **how).drop("method")

@@ -119,11 +119,7 @@ def graph_goodness(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graph_goodness_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The goodness of each kind of random walk against power iteration, over the sweep of numbers of walks: (method, walks, goodness)."""
     e = cut_lineage(edges(spark, sf_dir))
-    reference, out = cut_lineage(_pagerank(e)), None
-    for m in walks.METHODS:
-        one = walks.sweep_goodness(reference, e, m).select(F.lit(m).alias("method"), "walks", "goodness")
-        out = one if out is None else out.unionAll(one)
-    return out
+    return walks.goodness_series(cut_lineage(_pagerank(e)), walks.Laid.of(e), list(walks.METHODS))
 
 
 def src_links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,6 +163,23 @@ def test_sweep(spark, edges):
         assert sorted(got) == sorted(set(numbers)) and all(v >= 0 for v in got.values()) and got[1000] < 0.05
 
 
+@pytest.mark.parametrize("local", [1000, 0])
+def test_sweep_counts_what_is_compared(spark, edges, monkeypatch, local):
+    """Visits of the best nodes alone are told apart, by one pass for the methods that begin alike; the goodness is that of whole ranks."""
+    reference = graph.pagerank(edges, iterations=20)
+    want = {r.node: r["rank"] for r in graph.top(reference, "rank", 3).collect()}
+    passes, seen = [], walks.Laid.seen
+    monkeypatch.setattr(walks.Laid, "seen", lambda *a: passes.append(seen(*a).count()) or seen(*a))
+    laid = walks.Laid.of(edges, local_links=local)
+    found = walks.goodness_series(reference, laid, [1, 5], lambda n: [20, 333], 3, bored=0.6).collect()
+    assert len(found) == 4 and len(passes) == 1 and passes[0] <= 2 * 2 * 4
+    for m in (1, 5):
+        whole = walks.walk_series(edges, [20, 333], m, 0.6).collect()
+        for x in (20, 333):
+            apart = sum((want[r.node] - r["rank"]) ** 2 for r in whole if r.walks == x and r.node in want)
+            assert abs(apart - next(r.goodness for r in found if (r.method, r.walks) == (m, x))) < 1e-12
+
+
 def test_local_walks_repeat(spark, edges):
     a, b = (sorted(map(tuple, walks.monte_carlo(edges, 5000, 5, seed=3).collect())) for _ in range(2))
     assert a == b
