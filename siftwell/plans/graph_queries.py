@@ -101,13 +101,10 @@ def graph_walks_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What holds for the ranks of each kind of random walk: (method, nodes, total, near), near if the squared differences from power
     iteration over all nodes add up to WALKS_APART at most."""
     e = cut_lineage(edges(spark, sf_dir))
-    reference, out = _pagerank(e).withColumnRenamed("rank", "want"), None
-    for m in walks.METHODS:
-        both = walks.monte_carlo(e, _enough, m).join(reference, "node")
-        near = (F.sum(F.pow(F.col("rank") - F.col("want"), 2)) <= WALKS_APART).alias("near")
-        one = both.agg(F.count(F.lit(1)).alias("nodes"), F.round(F.sum("rank"), 6).alias("total"), near).select(F.lit(m).alias("method"), "nodes", "total", "near")
-        out = one if out is None else out.unionAll(one)
-    return out
+    reference = _pagerank(e).withColumnRenamed("rank", "want")
+    both = walks.method_series(walks.Laid.of(e), lambda n, _: [_enough(n)], list(walks.METHODS)).join(reference, "node")
+    near = (F.sum(F.pow(F.col("rank") - F.col("want"), 2)) <= WALKS_APART).alias("near")
+    return both.groupBy("method").agg(F.count(F.lit(1)).alias("nodes"), F.round(F.sum("rank"), 6).alias("total"), near)
 
 
 def graph_goodness(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -180,6 +180,18 @@ def test_sweep_counts_what_is_compared(spark, edges, monkeypatch, local):
             assert abs(apart - next(r.goodness for r in found if (r.method, r.walks) == (m, x))) < 1e-12
 
 
+def test_near_takes_two_passes(edges, monkeypatch):
+    """The four methods' walks are taken in two passes over one graph that is laid out once."""
+    took, walk, lay = [], walks._walk_local, walks.Laid.of
+    monkeypatch.setattr(walks, "_walk_local", lambda *a: took.append("pass") or walk(*a))
+    monkeypatch.setattr(walks.Laid, "of", lambda *a: took.append("laid") or lay(*a))
+    monkeypatch.setattr(graph_queries, "edges", lambda *_: edges)
+    monkeypatch.setattr(graph_queries, "WALKS", 60_000)
+    monkeypatch.setattr(graph_queries, "WALKS_APART", 0.01)
+    got = graph_queries.QUERIES["graph_walks_near"](None, "").collect()
+    assert sorted(map(tuple, got)) == [(m, 9, 1.0, True) for m in (1, 2, 4, 5)] and sorted(took) == ["laid", "pass", "pass"]
+
+
 def test_local_walks_repeat(spark, edges):
     a, b = (sorted(map(tuple, walks.monte_carlo(edges, 5000, 5, seed=3).collect())) for _ in range(2))
     assert a == b
